@@ -27,8 +27,9 @@ LEADING = (2, 1)
 WIDTH = 4
 SEED = 42
 TOP_BITS = 12
-#: A node is split further while it holds more fingerprints than this.
-NODE_LIMIT = 32_768
+#: Nodes are split to this depth at least, so that cells are many at any size,
+#: and further while they hold more fingerprints than this.
+LEAST_BITS, NODE_LIMIT = 4, 65_536
 #: Hashes held at once while the bits of one long text are counted.
 CHUNK = 1 << 16
 #: Node pairs expanded at once.
@@ -238,7 +239,8 @@ def plan_cells(counts: np.ndarray, lead: int, limit: int = NODE_LIMIT, bits: int
     """Node pairs of the upper trie that the leading budget leaves, from a histogram.
 
     Returns ``((depth, prefix), (depth, prefix))`` of prefix-free nodes. A node
-    is split while it holds more than ``limit`` fingerprints.
+    is split to depth ``LEAST_BITS``, and while it holds more than ``limit``
+    fingerprints.
     """
     sums = [counts]
     while len(sums[-1]) > 1:
@@ -246,7 +248,7 @@ def plan_cells(counts: np.ndarray, lead: int, limit: int = NODE_LIMIT, bits: int
     sums.reverse()
 
     def leaf(d: int, p: int) -> bool:
-        return d == bits or sums[d][p] <= limit
+        return d == bits or d >= LEAST_BITS and sums[d][p] <= limit
 
     out, stack = [], [((0, 0), (0, 0), 0)]
     while stack:
