@@ -30,7 +30,7 @@ NGRAM = 5
 #: Added to each count.
 SMOOTH = 0.5
 #: Words scored once per worker are kept until there are so many.
-CACHE = 200_000
+CACHE = 400_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,54 +50,40 @@ class Model:
 
     def score_word(self, word: str) -> tuple[float, ...]:
         """Log likelihoods by language; only their differences carry meaning."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        text, total, places = f"<{word}>", [0.0] * len(self.langs), 0
-        for i in range(len(text)):
-            for n in range(min(NGRAM, len(text) - i), 0, -1):
-                got = self.grams.get(text[i : i + n])
-                if got is not None:
-                    total = [a + b for a, b in zip(total, got, strict=True)]
-                    places += 1
-                    break
-        # an unseen word weighs as much as one place: its n-grams overlap
-        return tuple(x / max(1, places) for x in total)
+        return tuple(Scorer(self).rows([word])[0].tolist())
 
 
 def fit_counts(counts: list[tuple[str, str, int]]) -> Model:
     """A model from (language, word, count) rows."""
     langs = tuple(sorted({lang for lang, _, _ in counts}))
     at = {lang: i for i, lang in enumerate(langs)}
-    words: dict = defaultdict(lambda: [0] * len(langs))
-    grams: dict = defaultdict(lambda: [0] * len(langs))
+    rows: dict[str, int] = {}
+    for _, word, _ in counts:
+        rows.setdefault(word, len(rows))
+    table = np.zeros((len(rows), len(langs)))
     for lang, word, n in counts:
-        words[word][at[lang]] += n
-    for word, by in words.items():
-        text = f"<{word}>"
-        # a word type counts by the log of its tokens, so frequent words don't own their n-grams
-        weight = [math.log1p(x) for x in by]
-        for n in range(1, NGRAM + 1):
-            for i in range(len(text) - n + 1):
-                row = grams[text[i : i + n]]
-                for k, x in enumerate(weight):
-                    row[k] += x
-
-    def logs(table: dict, least: float) -> dict:
-        totals = [sum(row[k] for row in table.values()) + SMOOTH * len(table) for k in range(len(langs))]
-        return {
-            key: tuple(math.log((x + SMOOTH) / t) for x, t in zip(row, totals, strict=True))
-            for key, row in table.items()
-            if sum(row) >= least
-        }
-
-    by_length: dict = defaultdict(dict)
-    for gram, row in grams.items():
-        by_length[len(gram)][gram] = row
-    known: dict = {}
-    for table in by_length.values():
-        known |= logs(table, math.log1p(MIN_COUNT))
-    return Model(langs, logs(words, MIN_COUNT), known)
+        table[rows[word], at[lang]] += n
+
+    def logs(keys: dict[str, int], sums: np.ndarray, least: float) -> dict:
+        parts = np.log((sums + SMOOTH) / (sums.sum(axis=0) + SMOOTH * len(sums)))
+        known = sums.sum(axis=1) >= least
+        return {key: tuple(parts[i].tolist()) for key, i in keys.items() if known[i]}
+
+    # a word type counts by the log of its tokens, so frequent words don't own their n-grams
+    weights = np.log1p(table)
+    grams: dict = {}
+    for n in range(1, NGRAM + 1):
+        keys: dict[str, int] = {}
+        places, owners = [], []
+        for word, i in rows.items():
+            text = f"<{word}>"
+            here = [keys.setdefault(text[k : k + n], len(keys)) for k in range(len(text) - n + 1)]
+            places += here
+            owners += [i] * len(here)
+        sums = np.zeros((len(keys), len(langs)))
+        np.add.at(sums, places, weights[owners])
+        grams |= logs(keys, sums, math.log1p(MIN_COUNT))
+    return Model(langs, logs(rows, table, MIN_COUNT), grams)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -150,29 +136,67 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.gram_at = {gram: i for i, gram in enumerate(model.grams)}
+        self.gram_rows = np.array([*model.grams.values()]).reshape(-1, len(model.langs))
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.model.langs) + 1))
 
-    def _add(self, word: str) -> int:
-        i = self.at[word] = len(self.at)
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if any(map(str.isalpha, word)):
-            self.table[i, :-1], self.table[i, -1] = self.model.score_word(word), 1
-        return i
+    def _places(self, word: str) -> list[int]:
+        """At each place of the marked word, the longest known n-gram."""
+        text, get, out = f"<{word}>", self.gram_at.get, []
+        for i in range(len(text)):
+            for n in range(min(NGRAM, len(text) - i), 0, -1):
+                got = get(text[i : i + n])
+                if got is not None:
+                    out.append(got)
+                    break
+        return out
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of each word by language."""
+        out = np.zeros((len(words), len(self.model.langs)))
+        unseen, flat, counts = [], [], []
+        for k, word in enumerate(words):
+            known = self.model.words.get(word)
+            if known is not None:
+                out[k] = known
+            elif places := self._places(word):
+                unseen.append(k)
+                flat += places
+                counts.append(len(places))
+        if unseen:
+            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+            # an unseen word weighs as much as one place: its n-grams overlap
+            out[unseen] = np.add.reduceat(self.gram_rows[flat], starts) / np.array(counts)[:, None]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Score and remember words not met so far."""
+        new = [w for w in words if w not in self.at]
+        size = len(self.at) + len(new)
+        if size > len(self.table):
+            grown = np.zeros((2 * size, self.table.shape[1]))
+            grown[: len(self.table)] = self.table
+            self.table = grown
+        letters = [w for w in new if any(map(str.isalpha, w))]
+        for w in letters + [w for w in new if not any(map(str.isalpha, w))]:
+            self.at[w] = len(self.at)
+        at = slice(size - len(new), size - len(new) + len(letters))
+        self.table[at, :-1], self.table[at, -1] = self.rows(letters), 1
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if len(self.at) > CACHE:
-            self.clear()
         words = words_of(text) if text else []
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        get, add = self.at.get, self._add
-        ids = np.fromiter((i if (i := get(w)) is not None else add(w) for w in words), np.int64, len(words))
-        sums = self.table[ids].sum(axis=0)
+        if len(self.at) > CACHE:
+            self.clear()
+        distinct = set(words)
+        if not distinct <= self.at.keys():
+            self.learn(distinct)
+        sums = self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
         if not sums[-1]:
             return UNKNOWN, 0.0
         logs = sums[:-1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, langid, packing, simhash, sketch, topk, toxicity, urlfilter
+from assay.llm import bpe, langid, packing, simhash, sketch, suffix, topk, toxicity, urlfilter
 
 #: Names of installed vocabulary files.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -54,6 +54,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings of 100 bytes that came earlier."""
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text."""
     return sketch.fingerprint_documents(_table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
