@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, langid, packing, simhash, sketch, suffix, topk, toxicity, urlfilter
+from assay.llm import bpe, langid, licenses, packing, simhash, sketch, suffix, topk, toxicity, urlfilter
 
 #: Names of installed vocabulary files.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that every document names."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
+    "op4_license_scans": op4_license_scans,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_byte_bpe": op7_byte_bpe,
