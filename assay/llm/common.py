@@ -4,8 +4,7 @@ connected components over distributed edges."""
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-
+import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new folder beside the checkpoints, and read again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        cut(df.sparkSession.range(0))
+    path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def texts_as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
-    """One output batch per input batch; ``make`` returns the output columns."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(make(batch), schema=schema)
-
-
 def _fingerprint(df: DataFrame) -> tuple:
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -363,3 +363,19 @@ def near_duplicates(
     return rows.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component stays.
+
+    It is the one with the smallest id. Where ids are null or repeated, rows
+    are told apart by numbers of their own and any one row stays.
+    """
+    n, known, apart = docs.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
+    if n == known == apart:
+        found = near_duplicates(docs, id_col, text_col, width, budget)
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    number = "row_number_of_near_duplicates"
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()))
+    return keep_one(rows, number, text_col, width, budget).drop(number)

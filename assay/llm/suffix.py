@@ -227,23 +227,27 @@ def _joined(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.n
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """``id, text``, with unique ids in document order, and whether they are the given ones.
+    """``doc_id, id, text, row`` with unique ids in document order, and whether they are the given ones.
 
-    Null or repeated ids are replaced: rows are numbered by (id, nulls last,
-    text digest). Rows that agree in both get one number.
+    ``row`` holds all columns but the text. Null or repeated ids are replaced:
+    rows are numbered by (id, nulls last, text digest); rows that agree in both
+    get one number.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, known, apart = docs.select(F.col(id_col).cast("long").alias("i")).agg(
-        F.count(F.lit(1)), F.count("i"), F.countDistinct("i")
-    ).first()
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.struct(*others).alias("row"),
+    )
+    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+    n, known, apart = ids.agg(F.count(F.lit(1)), F.count("i"), F.countDistinct("i")).first()
     if n == known == apart:
-        return rows.select("doc_id", F.col("doc_id").alias("id"), "text"), True
+        return rows.select("doc_id", F.col("doc_id").alias("id"), "text", "row"), True
     rows = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    order = [F.asc_nulls_last("doc_id"), F.asc("digest")]
-    numbers = rows.select("doc_id", "digest").distinct().orderBy(*order).select("*", F.monotonically_increasing_id().alias("id"))
-    numbers = cut(numbers).select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "id")
+    keys = rows.select("doc_id", "digest").distinct().orderBy(F.asc_nulls_last("doc_id"), "digest")
+    numbers = cut(keys.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), F.monotonically_increasing_id().alias("id")))
     met = rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
-    return met.select("doc_id", "id", "text"), False
+    return met.select("doc_id", "id", "text", "row"), False
 
 
 _PLACES = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -428,15 +432,26 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_places: int) -> DataFrame:
-    """``doc_id, text, starts, counts`` of every row; lists are null without repeats."""
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_places: int) -> tuple[DataFrame, bool]:
+    """The rows of ``_numbered`` with ``runs``, null without repeats, and whether ids are the given ones."""
     arrow_batches(docs.sparkSession)
     rows, given = _numbered(docs, id_col, text_col)
-    found = repeats(rows.select("id", "text") if given else rows.dropDuplicates(["id"]).select("id", "text"), length, gram, hot_places)
+    texts = rows.select("id", "text")
+    found = repeats(texts if given else texts.dropDuplicates(["id"]), length, gram, hot_places)
     lists = found.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return rows.join(lists, "id", "left"), given
 
 
+def _copies(df: DataFrame) -> DataFrame:
+    """``later``: whether a row comes after another one with its number."""
+    return df.withColumn("later", F.row_number().over(Window.partitionBy("id").orderBy("doc_id")) > 1)
+
+
+def _spans_in(batch: pa.RecordBatch, text_at: int, runs_at: int, length: int):
+    for text, runs in zip(texts_as_bytes(batch.column(text_at)), batch.column(runs_at).to_pylist(), strict=True):
+        yield text, spans_of(len(text), [r["start"] for r in runs or []], [r["n"] for r in runs or []], length)
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_places: int = HOT_PLACES
 ) -> DataFrame:
@@ -449,45 +464,59 @@ def remove_repeats(
     their texts' SHA-256, and of equal rows all but one count as later. Other
     columns are ignored.
     """
-    rows, given = _with_spans(docs, id_col, text_col, length, gram, hot_places)
+    rows, given = _with_runs(docs.select(id_col, text_col), id_col, text_col, length, gram, hot_places)
     names = ["doc_id", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    kinds = [pa.int64()] * 5 + [pa.string()]
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc_id, i, text, runs in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True
-            ):
-                spans = spans_of(len(text), [r["start"] for r in runs or []], [r["n"] for r in runs or []], length)
-                row = (
-                    doc_id,
-                    i,
-                    len(text),
-                    sum(b - a for a, b in spans),
-                    len(spans),
-                    hashlib.sha256(kept_bytes(text, spans)).hexdigest(),
-                )
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+            out = [
+                (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(text, spans)).hexdigest())
+                for text, spans in _spans_in(batch, 2, 3, length)
+            ]
+            made = [pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
     done = rows.select("doc_id", "id", "text", "runs").mapInArrow(
         run, "doc_id long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     if not given:
-        done = _later_copies(done, length)
+        gone = F.col("later") & (F.col("n_bytes") >= length)
+        done = _copies(done).select(
+            "doc_id",
+            "id",
+            "n_bytes",
+            F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+            F.when(gone, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+            F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        )
     return done.drop("id")
 
 
-def _later_copies(done: DataFrame, length: int) -> DataFrame:
-    """Rows after the first of equal rows lose everything, if they have ``length`` bytes."""
-    again = (F.row_number().over(Window.partitionBy("id").orderBy("doc_id")) > 1) & (F.col("n_bytes") >= length)
-    return done.select(
-        "doc_id",
-        "id",
-        "n_bytes",
-        F.when(again, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(again, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
-        F.when(again, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    )
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_places: int = HOT_PLACES
+) -> DataFrame:
+    """``docs`` with repeated strings gone from its texts; all rows and other columns stay.
+
+    The bytes that go are those of ``remove_repeats``, but for characters of
+    which only a part would go; these stay whole. Null text becomes empty.
+    """
+    rows, given = _with_runs(docs, id_col, text_col, length, gram, hot_places)
+    row = docs.drop(text_col).schema.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = [
+                kept_bytes(text, whole_characters(text, spans)).decode() for text, spans in _spans_in(batch, 2, 3, length)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(4)],
+                names=["doc_id", "id", "text", "row"],
+            )
+
+    done = rows.select("doc_id", "id", "text", "runs", "row").mapInArrow(run, f"doc_id long, id long, text string, row {row}")
+    if not given:
+        # what is left of equal rows is equal, and only the first one's is wanted
+        long = F.octet_length("before") >= length
+        before = rows.select("id", F.col("text").alias("before")).dropDuplicates(["id"])
+        done = _copies(done).join(before, "id").withColumn("text", F.when(F.col("later") & long, "").otherwise(F.col("text")))
+    return done.select(*(F.col("text").alias(c) if c.lower() == text_col.lower() else F.col("row")[c].alias(c) for c in docs.columns))
