@@ -1 +1 @@
-
+"""Whole checks made of operators."""

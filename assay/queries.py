@@ -2,5 +2,393 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assay.functions import text
+from assay.operators import budgets, conditions, folds, graph, projection, schema
+from assay.plans import document
+from assay.sources import streams
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if SQL can express it."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+PROPS_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10}}}
+
+
+@query("""
+SELECT event_id, '/k' AS path, 'minimum' AS keyword FROM events WHERE CAST(props ->> '$.k' AS BIGINT) < 10
+UNION ALL SELECT event_id, '' AS path, 'required' AS keyword FROM events WHERE (props -> '$.k') IS NULL""")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed checks of the JSON in ``events.props``."""
+    return schema.violations(table(spark, sf_dir, "events"), "props", PROPS_SCHEMA, ["event_id"])
+
+
+@query("SELECT doc_id, 'ref.missing' AS code FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no label refers to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return budgets.missing(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT page_id, 'get_' || substr(sha256('GET ' || url), 1, 16) AS operation_id FROM pages")
+def operation_id_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short digests that name the operation of each page."""
+    return table(spark, sf_dir, "pages").select("page_id", text.operation_id(F.lit("GET"), F.col("url")).alias("operation_id"))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(regexp_split_to_array(text, '\r\n|\r|\n')) - CAST(regexp_matches(text, '(^|\r|\n)\z') AS INTEGER) AS INTEGER) AS n_lines,
+  CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents""")
+def stream_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and bytes of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(text.split_lines(F.col("text"))).alias("n_lines"), F.octet_length("text").alias("n_bytes"))
+
+
+@query("""
+SELECT conv_id, turn, CAST(used AS BIGINT) AS used, used > 1000 AS over FROM (
+  SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations)""")
+def cumulative_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each conversation so far, and where 1000 are passed."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("size"))
+    return budgets.byte_budget(turns, ["conv_id"], ["turn"], F.col("size"), 1000).drop("size")
+
+
+_CONDITIONS = [
+    ("first", ["en", "fr"], [], [], ["src0"]),
+    ("second", [], ["en"], ["src1", "src2", "src3"], []),
+    ("third", ["de"], ["de"], [], []),
+    ("fourth", [], [], ["src0"], []),
+]
+
+
+@query("""
+WITH c(variant, inc, exc, minc, mexc) AS (VALUES
+  ('first', ['en', 'fr'], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ['src0']),
+  ('second', CAST([] AS VARCHAR[]), ['en'], ['src1', 'src2', 'src3'], CAST([] AS VARCHAR[])),
+  ('third', ['de'], ['de'], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])),
+  ('fourth', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ['src0'], CAST([] AS VARCHAR[])))
+SELECT doc_id, variant FROM documents JOIN c
+  ON (len(inc) = 0 OR list_contains(inc, lang)) AND NOT list_contains(exc, lang)
+  AND (len(minc) = 0 OR list_contains(minc, source)) AND NOT list_contains(mexc, source)""")
+def condition_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants whose condition each document's language and source meet."""
+    variants = spark.createDataFrame(
+        [("doc", *c) for c in _CONDITIONS],
+        "operation_key string, variant string, methods array<string>, except_methods array<string>, media_types array<string>, except_media_types array<string>",
+    )
+    routes = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("doc").alias("operation_key"), F.col("lang").alias("method"), F.array("source").alias("media")
+    )
+    # the decision table is a literal of four rows
+    return conditions.link(routes, F.broadcast(variants)).select("doc_id", "variant")
+
+
+@query(r"""
+SELECT shape, count(*) AS n_pages, min(page_id) AS first_page FROM (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[0-9]+', '{id}', 'g'), '\{[^{}]+\}', '{}', 'g') AS shape FROM pages)
+GROUP BY shape""")
+def path_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the shape of their paths, numbers read as template names."""
+    path = F.regexp_replace(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "[0-9]+", "{id}")
+    pages = table(spark, sf_dir, "pages").select("page_id", text.path_shape(path).alias("shape"))
+    return pages.groupBy("shape").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+@query("SELECT source, string_agg(lang, ' / ' ORDER BY lang) AS \"values\" FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
+def enum_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of each source in one text."""
+    return folds.described(table(spark, sf_dir, "documents"), ["source"], "lang")
+
+
+@query("""
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem
+  UNION SELECT DISTINCT l_partkey * 2 + 1, l_orderkey * 2 FROM lineitem),
+walk(node, depth) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 2)
+SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def reachable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders (even) and parts (odd) within two steps of order 1."""
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    edges = items.unionByName(items.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.reachable(edges, spark.createDataFrame([(2,)], "node long"), max_depth=2)
+
+
+@query("""
+SELECT doc_id, first_holder FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_holder FROM documents) WHERE doc_id > first_holder""")
+def duplicate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text an earlier one holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return budgets.duplicates(docs, ["digest"], "doc_id").select("doc_id", "first_holder")
+
+
+@query("""
+SELECT conv_id, turn, CAST(ordinal AS INTEGER) AS ordinal FROM (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations) WHERE ordinal > 3""")
+def item_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns beyond the third of each conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return budgets.item_limit(turns, ["conv_id"], ["turn"], 3).where("over").drop("over")
+
+
+_DOMAINS = [
+    (1, ["GET", "POST"], [], ["POST", "PUT"], []),
+    (2, [], ["GET"], [], ["PUT", "GET"]),
+    (3, ["GET"], [], [], ["HEAD"]),
+    (4, ["GET"], [], ["POST"], []),
+]
+
+
+@query("""
+WITH c(id, a, ax, b, bx) AS (VALUES
+  (1, ['GET', 'POST'], CAST([] AS VARCHAR[]), ['POST', 'PUT'], CAST([] AS VARCHAR[])),
+  (2, CAST([] AS VARCHAR[]), ['GET'], CAST([] AS VARCHAR[]), ['PUT', 'GET']),
+  (3, ['GET'], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ['HEAD']),
+  (4, ['GET'], CAST([] AS VARCHAR[]), ['POST'], CAST([] AS VARCHAR[]))),
+d AS (SELECT id, len(a) > 0 OR len(b) > 0 AS finite, list_sort(list_distinct(list_concat(ax, bx))) AS gone,
+  CASE WHEN len(a) = 0 THEN b WHEN len(b) = 0 THEN a ELSE list_filter(a, lambda x: list_contains(b, x)) END AS joint FROM c),
+e AS (SELECT id, finite, gone, list_sort(list_filter(joint, lambda x: NOT list_contains(gone, x))) AS rest FROM d)
+SELECT id, array_to_string(CASE WHEN finite THEN rest ELSE [] END, ',') AS included,
+  array_to_string(CASE WHEN finite THEN [] ELSE gone END, ',') AS excluded, NOT finite OR len(rest) > 0 AS reachable FROM e""")
+def condition_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersections of domains, one of them unreachable."""
+    rows = spark.createDataFrame(_DOMAINS, "id int, a array<string>, ax array<string>, b array<string>, bx array<string>")
+    met = rows.select("id", conditions.intersect(F.col("a"), F.col("ax"), F.col("b"), F.col("bx")).alias("m"))
+    return met.select(
+        "id", F.array_join("m.included", ",").alias("included"), F.array_join("m.excluded", ",").alias("excluded"), "m.reachable"
+    )
+
+
+@query("""
+WITH own AS (SELECT l_orderkey AS k, min(l_linestatus) AS v FROM lineitem WHERE l_quantity > 5 GROUP BY l_orderkey)
+SELECT k AS order_key, v AS value, 'own' AS origin FROM own
+UNION ALL SELECT o_orderkey, o_orderstatus, 'inherited' FROM orders WHERE NOT EXISTS (SELECT 1 FROM own WHERE k = o_orderkey)""")
+def parameter_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of orders, those of their larger items first."""
+    inherited = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("value"))
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 5")
+    own = items.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.min("l_linestatus").alias("value"))
+    return budgets.overridden(inherited, own, ["order_key"])
+
+
+@query("SELECT user_id, bool_and(coalesce(value > 1, false)) AS required FROM events GROUP BY user_id")
+def all_paths_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users all of whose events have a value above one."""
+    return folds.required_by_all(table(spark, sf_dir, "events"), ["user_id"], F.col("value") > 1)
+
+
+@query("""
+WITH g AS (SELECT doc_id % 50 AS g, lang, min(doc_id) AS seen FROM documents WHERE doc_id < 150 GROUP BY ALL),
+f AS (SELECT g, count(*) AS n, string_agg(lang, ',' ORDER BY seen) AS v FROM g GROUP BY g)
+SELECT g, CAST(n AS INTEGER) AS n, CASE WHEN n = 1 THEN v ELSE 'anyOf(' || v || ')' END AS folded FROM f""")
+def schema_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages that share a group of documents, in the order in which they came."""
+    docs = table(spark, sf_dir, "documents").where("doc_id < 150").select((F.col("doc_id") % 50).alias("g"), "lang", "doc_id")
+    return folds.alternatives(docs, ["g"], "lang", order="doc_id").select("g", F.size("alternatives").alias("n"), "folded")
+
+
+@query()
+def projected_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON Schema of each column of ``lineitem``."""
+    return projection.projected_schema(spark, table(spark, sf_dir, "lineitem"))
+
+
+@query("""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS event_no, text AS data, role AS event,
+  CAST(turn AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS retry, false AS over FROM conversations WHERE NOT contains(text, chr(13))""")
+def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as event streams, and read again."""
+    turns = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\r"))
+    turn = F.col("turn").cast("string")
+    lines = F.concat(F.lit("data: "), F.replace("text", F.lit("\n"), F.lit("\ndata: ")))
+    frame = F.concat(
+        F.lit(": note\nevent: "), F.col("role"), F.lit("\nid: "), turn, F.lit("\nretry: 00"), turn, F.lit("\n"), lines, F.lit("\n\n")
+    )
+    written = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", frame.alias("frame")))).alias("f"))
+    joined = F.concat(F.lit("﻿"), F.array_join(F.transform("f", lambda x: x["frame"]), ""), F.lit("data: unfinished"))
+    return streams.events(written.select("conv_id", joined.alias("stream")), "stream", ["conv_id"])
+
+
+@query("""
+WITH v AS (SELECT DISTINCT CAST(CAST(l_discount * 100 - 4 AS INTEGER) AS VARCHAR) || 'e-' || CAST(l_linenumber % 3 AS VARCHAR) AS number_text FROM lineitem)
+SELECT number_text, CAST(number_text AS DOUBLE) < 0 AS negative, CAST(number_text AS DOUBLE) = 0 AS zero,
+  CAST(number_text AS DECIMAL(18, 6)) = floor(CAST(number_text AS DECIMAL(18, 6))) AS "integer" FROM v""")
+def number_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign, zero and wholeness of decimal texts with exponents, by their digits."""
+    whole = F.round(F.col("l_discount") * 100 - 4).cast("int").cast("string")
+    made = F.concat(whole, F.lit("e-"), (F.col("l_linenumber") % 3).cast("string"))
+    texts = table(spark, sf_dir, "lineitem").select(made.alias("number_text")).distinct()
+    return texts.select("number_text", text.number_traits(F.col("number_text")).alias("t")).select("number_text", "t.*")
+
+
+@query("SELECT page_id, NOT contains(regexp_replace(html, '%[0-9A-Fa-f]{2}', '', 'g'), '%') AS valid FROM pages")
+def percent_escape_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every percent sign of a page starts an escape."""
+    return table(spark, sf_dir, "pages").select("page_id", text.percent_valid(F.col("html")).alias("valid"))
+
+
+@query("""
+SELECT 'ref.missing' AS code, '/documents/' || doc_id AS path, 'no label' AS message FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+UNION ALL SELECT 'contract.instance', '/events/' || event_id || '/k', 'minimum' FROM events WHERE CAST(props ->> '$.k' AS BIGINT) < 10""")
+def sorted_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of two rules in one order."""
+    lost = missing_references(spark, sf_dir).select(
+        "code", F.concat(F.lit("/documents/"), F.col("doc_id")).alias("path"), F.lit("no label").alias("message")
+    )
+    bad = schema_violations(spark, sf_dir).select(
+        F.lit("contract.instance").alias("code"), F.concat(F.lit("/events/"), F.col("event_id"), F.col("path")).alias("path"), F.col("keyword").alias("message")
+    )
+    return budgets.ordered_issues(lost, bad)
+
+
+@query("""
+SELECT o.o_orderpriority AS shape, bool_and(o.o_totalprice > 1000) AS required, count(*) AS n, min(o.o_orderkey) AS first_holder
+FROM orders o GROUP BY 1""")
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of all rows of each priority."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(F.col("o_orderpriority").alias("shape")).agg(
+        F.bool_and(F.col("o_totalprice") > 1000).alias("required"), F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_holder")
+    )
+
+
+@query("""
+SELECT c_nationkey AS nation, CASE WHEN min(c_mktsegment) = max(c_mktsegment) THEN min(c_mktsegment) END AS c_mktsegment,
+  CASE WHEN min(c_nationkey) = max(c_nationkey) THEN min(c_nationkey) END AS key,
+  CASE WHEN min(c_mktsegment) <> max(c_mktsegment) THEN 'c_mktsegment' ELSE '' END AS ambiguous FROM customer GROUP BY c_nationkey""")
+def metadata_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that all customers of a nation share, and the names on which they differ."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_mktsegment", F.col("c_nationkey").alias("key"))
+    return folds.agreement(rows, ["nation"], ["c_mktsegment", "key"]).withColumn("ambiguous", F.array_join("ambiguous", ","))
+
+
+@query("""
+SELECT s_nationkey AS nation, CAST(max(CAST(s_acctbal AS DECIMAL(38, 10))) AS DOUBLE) AS lower, CAST(min(CAST(s_acctbal + 5000 AS DECIMAL(38, 10))) AS DOUBLE) AS upper,
+  max(CAST(s_acctbal AS DECIMAL(38, 10))) > min(CAST(s_acctbal + 5000 AS DECIMAL(38, 10))) AS conflict FROM supplier GROUP BY s_nationkey""")
+def bound_tightening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tightest bounds that the suppliers of a nation set."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("lower"), (F.col("s_acctbal") + 5000).alias("upper")
+    )
+    return folds.bounds(rows, ["nation"]).withColumns({c: F.col(c).cast("double") for c in ("lower", "upper")})
+
+
+@query("""
+WITH d AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 100000), n AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+SELECT coalesce(d.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'unused' ELSE 'missing' END AS problem
+FROM d FULL JOIN n ON d.k = n.k WHERE d.k IS NULL OR n.k IS NULL""")
+def one_sided_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with large orders but no balance, and the reverse."""
+    declared = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("k"))
+    named = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return budgets.one_sided(declared, named, ["k"])
+
+
+@query("""
+WITH c AS (SELECT user_id, min(ts) AS commit_ts FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT e.user_id, e.event_type AS name, arg_max(value, ts) AS value FROM events e JOIN c ON e.user_id = c.user_id AND ts < commit_ts GROUP BY ALL""")
+def snapshot_as_of_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last value of every type before the first purchase."""
+    events = table(spark, sf_dir, "events")
+    return budgets.as_of(
+        events.select("user_id", F.col("event_type").alias("name"), "ts", "value"),
+        events.where("event_type = 'purchase'").select("user_id", "ts"),
+        ["user_id"],
+        "ts",
+        "value",
+    )
+
+
+@query("""
+SELECT n_nationkey AS key, n_name AS expected, r_name AS actual,
+  CASE WHEN r_name IS NULL THEN 'unknown' WHEN r_name = n_name THEN 'match' ELSE 'mismatch' END AS status
+FROM nation LEFT JOIN region ON n_nationkey = r_regionkey""")
+def build_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected and actual values of keys."""
+    expected = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    actual = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value"))
+    return budgets.selectors(expected, actual)
+
+
+@query("""
+WITH RECURSIVE link AS (SELECT p_partkey AS node, p_partkey // 2 AS target FROM part WHERE p_partkey > 1),
+walk(node, place, hops) AS (SELECT node, target, 1 FROM link UNION ALL SELECT w.node, target, hops + 1 FROM walk w JOIN link l ON l.node = w.place)
+SELECT node, arg_max(place, hops) AS "end", CAST(max(hops) AS BIGINT) AS hops, false AS cyclic FROM walk GROUP BY node""")
+def alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where chains of halved part keys end."""
+    parts = table(spark, sf_dir, "part").where("p_partkey > 1")
+    return graph.chain_ends(parts.select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 2").alias("target")))
+
+
+@query(r"""
+SELECT page_id, path, coalesce(max_by(a, length(a)), NULL) AS ancestor FROM (
+  SELECT page_id, path, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '/'))) AS a FROM (
+    SELECT page_id, path, string_split(path, '/') AS p FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)))
+WHERE a IN ('', '/en', '/fr', '/es/533') GROUP BY page_id, path""")
+def nearest_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of four prefixes that each page's path lies under."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path"))
+    known = spark.createDataFrame([("",), ("/en",), ("/fr",), ("/es/533",)], "path string")
+    return pages.join(graph.nearest_ancestor(pages, known), "path").select("page_id", "path", "ancestor")
+
+
+@query("""
+SELECT o_orderstatus AS path, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority <> '1-URGENT') AS other
+FROM orders GROUP BY 1""")
+def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two kinds in one pass."""
+    urgent = (F.col("o_orderpriority") == "1-URGENT").cast("long")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("path")).agg(F.sum(urgent).alias("urgent"), F.sum(1 - urgent).alias("other"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS INTEGER) AS \"bytes\" FROM documents WHERE strlen(text) > 4096")
+def oversized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beyond a byte limit."""
+    docs = streams.line_budget(table(spark, sf_dir, "documents"), "text", ["doc_id"], max_bytes=4096)
+    return docs.where(F.col("bytes") > 4096).select("doc_id", "bytes")
+
+
+@query("""
+SELECT event_id, CASE WHEN CAST(props ->> '$.k' AS BIGINT) % 7 = 0 THEN 'multiple' ELSE 'other' END AS branch FROM events
+WHERE NOT (CAST(props ->> '$.k' AS BIGINT) % 7 = 0 AND CAST(props ->> '$.k' AS BIGINT) > 50)""")
+def conditional_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose ``k``, if a multiple of seven, is at most fifty."""
+    rule = {"if": {"properties": {"k": {"multipleOf": 7}}}, "then": {"properties": {"k": {"maximum": 50}}}}
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    kept = schema.valid(events, "props", rule).where("valid")
+    seventh = schema.valid(kept, "props", rule["if"], "seventh")
+    return seventh.select("event_id", F.when(F.col("seventh"), "multiple").otherwise("other").alias("branch"))
+
+
+@query()
+def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of service descriptions made from the pages, some with planted faults."""
+    return document.check(document.sample_documents(table(spark, sf_dir, "pages")))
+
+
+@query()
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node rows of ``events.props``."""
+    from assay.sources import nodes
+
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc"), F.col("props").alias("content"))
+    return nodes.parsed(events).select("doc", "path", "parent", "key", "depth", "kind", "num_text")

@@ -1 +1 @@
-
+"""Structured Streaming forms of the record and event scans."""
