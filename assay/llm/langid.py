@@ -137,7 +137,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.gram_at = {gram: i for i, gram in enumerate(model.grams)}
-        self.gram_rows = np.array([*model.grams.values()]).reshape(-1, len(model.langs))
+        self.gram_rows = np.array([*model.grams.values()]).reshape(len(model.grams), len(model.langs))
         self.clear()
 
     def clear(self) -> None:
