@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from assay.functions import grammar, text
 from assay.operators import graph
@@ -90,10 +91,10 @@ KEYWORDS = {
     "number": "minimum maximum exclusiveMinimum exclusiveMaximum multipleOf",
 }
 
-_mailbox = grammar.column(grammar.mailbox, "boolean")
-_uri = grammar.column(grammar.uri_reference, "boolean")
-_iri = grammar.column(grammar.non_relative_iri, "boolean")
-_server = grammar.column(grammar.server_template, "string")
+_mailbox = grammar.column(grammar.mailbox, BooleanType())
+_uri = grammar.column(grammar.uri_reference, BooleanType())
+_iri = grammar.column(grammar.non_relative_iri, BooleanType())
+_server = grammar.column(grammar.server_template, StringType())
 
 
 def _lits(words: str | list[str]) -> Column:
