@@ -223,7 +223,7 @@ def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(": note\nevent: "), F.col("role"), F.lit("\nid: "), turn, F.lit("\nretry: 00"), turn, F.lit("\n"), lines, F.lit("\n\n")
     )
     written = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", frame.alias("frame")))).alias("f"))
-    joined = F.concat(F.lit("﻿"), F.array_join(F.transform("f", lambda x: x["frame"]), ""), F.lit("data: unfinished"))
+    joined = F.concat(F.lit("\ufeff"), F.array_join(F.transform("f", lambda x: x["frame"]), ""), F.lit("data: unfinished"))
     return streams.events(written.select("conv_id", joined.alias("stream")), "stream", ["conv_id"])
 
 

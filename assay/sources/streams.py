@@ -55,7 +55,7 @@ def events(df: DataFrame, text_col: str, keep: list[str], max_items: int = MAX_I
     until frames are cut, so texts, not lines, are shuffled to their keys.
     """
     lines = df.select(*keep, F.posexplode(split_lines(F.col(text_col))).alias("line_no", "line"))
-    first = (F.col("line_no") == 0) & F.col("line").startswith("﻿")
+    first = (F.col("line_no") == 0) & F.col("line").startswith("\ufeff")
     lines = lines.withColumn("line", F.when(first, F.substr("line", F.lit(2))).otherwise(F.col("line")))
     order = Window.partitionBy(*keep).orderBy("line_no")
     blank = F.col("line") == ""

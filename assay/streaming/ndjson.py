@@ -70,7 +70,7 @@ def framed_events(chunks: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq")
         text = "".join(rows["chunk"])
         if not begun and text:
-            text, begun = text.removeprefix("﻿"), True
+            text, begun = text.removeprefix("\ufeff"), True
         found, rest = _frames(rest + text)
         out = pd.DataFrame(found, columns=["data", "event", "id", "retry"])
         out.insert(0, "event_no", range(number + 1, number + 1 + len(out)))
