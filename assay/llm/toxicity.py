@@ -213,17 +213,13 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     return keep.mapInArrow(run, ", ".join([schema, *(f"`{c}` double" for c in added)]))
 
 
-def with_verdict(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``p_low_quality, p_toxic`` and the verdict ``toxic``.
-
-    The chain's categories are low quality (``quality`` = 0) and then toxic.
-    """
+def fit_labelled(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain of low quality (``quality`` = 0) and then toxic, from ``labels(doc_id, quality, toxic)``."""
     marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    scored = predict(docs.drop("toxic"), fit(docs, marks, ["low_quality", "toxic"]))
-    return scored.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+    return fit(docs.select("doc_id", "text"), marks, ["low_quality", "toxic"])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, p_low_quality, p_toxic, toxic``, one row per input row."""
-    rows = with_verdict(docs.select("doc_id", "text"), labels)
-    return rows.select("doc_id", "p_low_quality", "p_toxic", "toxic")
+    """``doc_id, p_low_quality, p_toxic, toxic``, one row per input row; other columns are ignored."""
+    rows = predict(docs.select("doc_id", "text"), fit_labelled(docs, labels))
+    return rows.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
