@@ -10,16 +10,26 @@ from assay.llm.common import stored
 from assay.llm.queries import WORD_VOCABULARY
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``text`` and all other columns in ``row``, so that no name clashes with what a stage adds."""
+    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def _whole(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without letters go."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.predict(_apart(docs), langid.fit(docs))
+    return _whole(found.where(F.col("lang_pred") != langid.UNKNOWN), docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.with_verdict(docs, labels).where(~F.col("toxic")).select(*docs.columns)
+    found = toxicity.predict(_apart(docs), toxicity.fit_labelled(docs, labels))
+    return _whole(found.where(F.col("p_toxic") < toxicity.THRESHOLD), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
