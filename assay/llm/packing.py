@@ -73,13 +73,18 @@ class Packer:
 # ---- token ids ----------------------------------------------------------------
 
 #: Characters that normalising only lower-cases, one by one: ASCII without
-#: controls, Latin-1 and Latin Extended A and B without the dotted capital I.
-_PLAIN = re.compile("[\t-\r -~¡-įı-ɏ]*")
-_LETTER = "a-zªµºÀ-ÖØ-öø-ɏ"
+#: controls, Latin-1 and Latin Extended A without the dotted capital I.
+_PLAIN = re.compile("[\t-\r -~¡-įı-ſ]*")
+_LETTER = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
 #: The vocabulary's own splitting pattern, written out for those characters.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 
+#: The letters by which byte-level vocabularies write bytes: those that print stand for themselves,
+#: the others follow from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
 
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit numbers, remembering words."""
@@ -89,6 +94,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.met: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -96,7 +102,9 @@ class WordTokenizer:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def _add(self, word: str) -> bytes:
-        raw = self._encode(word)
+        # a word of the pattern is already normalised and split: only its bytes' letters are left to map
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        raw = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         if len(word) <= 64:
             if len(self.met) >= CACHE:
                 self.met.clear()
