@@ -137,7 +137,10 @@ def split_records(text: Column) -> Column:
 
 
 def number_traits(text: Column) -> Column:
-    """``negative, zero, integer`` of decimal text, exponents not expanded; null if it is no number."""
+    """``negative, zero, integer`` of decimal text, exponents not expanded; null if it is no number.
+
+    The sign is the text's, so minus zero is negative and zero.
+    """
     sign = F.regexp_extract(text, _NUMBER, 1)
     whole = F.regexp_extract(text, _NUMBER, 2)
     part = F.regexp_extract(text, _NUMBER, 3)
@@ -152,7 +155,7 @@ def number_traits(text: Column) -> Column:
     integer = zero | (F.length(part) - tail - shift <= 0)
     return F.when(
         text.rlike(_NUMBER) & ~text.contains("\n"),
-        F.struct(((sign == "-") & ~zero).alias("negative"), zero.alias("zero"), integer.alias("integer")),
+        F.struct((sign == "-").alias("negative"), zero.alias("zero"), integer.alias("integer")),
     )
 
 

@@ -95,7 +95,9 @@ def hierarchy_issues(tags: DataFrame) -> DataFrame:
     parents = tags.where("parent is not null").select("name", "parent").distinct()
     lost = parents.join(names.select(F.col("name").alias("parent")), "parent", "left_anti")
     lost = lost.select(F.lit("tag.parent").alias("code"), "name").distinct()
-    links = parents.groupBy("name").agg(F.min("parent").alias("target")).withColumnRenamed("name", "node")
+    links = cut(parents.groupBy("name").agg(F.min("parent").alias("target")).withColumnRenamed("name", "node"))
+    if links.isEmpty():
+        return twice.unionByName(lost)
     ends = chain_ends(links).where("cyclic").select("node")
     # on a cycle: nodes that stay after all with no cyclic child are peeled away
     ring = cut(links.join(ends, "node"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 from assay.functions import grammar, text
 from assay.operators import graph
+from assay.plans import schema_graph
 from assay.sources import nodes as node_source
 
 # The fields that each object may have, besides extensions.
@@ -299,7 +300,7 @@ def _rules() -> list[Column]:
     size = F.filter(
         _lits(KEYWORDS["size"]),
         lambda k: F.map_contains_key(o.kids, k)
-        & ~F.coalesce(traits(k)["integer"] & ~traits(k)["negative"], F.lit(False)),
+        & ~F.coalesce(traits(k)["integer"] & (~traits(k)["negative"] | traits(k)["zero"]), F.lit(False)),
     )
     out.append(F.when(schema, _each(size, "spec.schema.keyword", "no size: ")).otherwise(none))
     numbers = F.filter(_lits(KEYWORDS["number"]), lambda k: F.map_contains_key(o.kids, k) & (o.kids[k]["kind"] != "number"))
@@ -413,6 +414,76 @@ def identity_issues(objects: DataFrame) -> DataFrame:
     return out.unionByName(_issue(placed, F.concat(F.lit("spec."), F.col("code")), "path", "the tags' hierarchy"))
 
 
+def item_issues(objects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Arrays of plain values: tags, scopes, types, required names and enumerations."""
+    items = nodes.where("parent is not null").groupBy("doc", F.col("parent").alias("path")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "kind", "str"))).alias("items")
+    )
+    none = F.array().cast(items.schema["items"].dataType)
+    arrays = nodes.where("kind = 'array' and parent is not null").select("doc", "path", "parent", "key").join(items, ["doc", "path"], "left")
+    arrays = arrays.withColumn("items", F.coalesce("items", none))
+    owners = objects.select("doc", F.col("path").alias("parent"), "role", "kids")
+    met = arrays.join(owners, ["doc", "parent"])
+    texts = F.transform("items", lambda x: x["str"])
+    strings = F.forall("items", lambda x: x["kind"] == "string")
+    unique = strings & text.all_unique(texts)
+    key, role = F.col("key"), F.col("role")
+    simple = unique & (F.size("items") > 0) & F.forall(texts, text.simple_type)
+    default = F.col("kids")["default"]["str"]
+    code = (
+        F.when((role == "operation") & (key == "tags") & ~strings, "spec.operation.tags")
+        .when((role == "schema") & (key == "required") & ~unique, "spec.schema.keyword")
+        .when((role == "schema") & (key == "type") & ~simple, "spec.schema.keyword")
+        .when((role == "serverVariable") & (key == "enum") & ~strings, "spec.serverVariable.enum")
+        .when(
+            (role == "serverVariable") & (key == "enum") & (F.size("items") > 0) & default.isNotNull() & ~F.array_contains(texts, default),
+            "spec.serverVariable.default",
+        )
+        .when(
+            role.isin("root", "operation") & (key == "security") & F.exists("items", lambda x: x["kind"] != "object"),
+            "spec.security.requirements",
+        )
+    )
+    out = _issue(met.withColumn("code", code).where("code is not null"), F.col("code"), "path", "unfit values in the array")
+    # scopes: entries of the objects in a security array
+    entry = nodes.where(F.col("path").rlike("/security/[0-9]+/[^/]+$") & F.col("role").isNull())
+    owned = entry.withColumn("owner", F.regexp_replace("path", "/security/[0-9]+/[^/]+$", "")).join(
+        objects.where(F.col("role").isin("root", "operation")).select("doc", F.col("path").alias("owner")), ["doc", "owner"], "left_semi"
+    )
+    scopes = owned.join(items, ["doc", "path"], "left")
+    bad = (F.col("kind") != "array") | F.exists(F.coalesce("items", none), lambda x: x["kind"] != "string")
+    return out.unionByName(_issue(scopes.where(bad), "spec.security.scopes", "path", "scopes are an array of strings"))
+
+
+def flow_issues(objects: DataFrame) -> DataFrame:
+    """OAuth flows: kinds, fields, URLs and scopes."""
+    flows = objects.where(F.col("role").isin("oauthFlows", "oauthFlow"))
+    kinds = flows.where("role = 'oauthFlows'").select(
+        "doc", "path", F.explode(F.filter(F.map_keys("kids"), lambda k: ~k.isin(*FLOWS) & ~k.startswith("x-"))).alias("k")
+    )
+    out = _issue(kinds, "spec.security.flow", F.concat("path", F.lit("/"), text.pointer_escape(F.col("k"))), "unknown flow")
+    one = flows.where("role = 'oauthFlow'").withColumn("flow", F.element_at(F.split("path", "/"), -1)).where(F.col("flow").isin(*FLOWS))
+    needs = F.when(F.lit(False), _lits(""))
+    for name, words in FLOWS.items():
+        needs = needs.when(F.col("flow") == name, _lits(words))
+    one = one.withColumn("needs", needs)
+    extra = F.filter(
+        F.array_except(F.map_keys("kids"), F.concat(_lits("scopes refreshUrl"), F.col("needs"))), lambda k: ~k.startswith("x-")
+    )
+    named = one.select("doc", "path", "flow", F.explode(extra).alias("k"))
+    out = out.unionByName(_issue(named, "spec.security.field", F.concat("path", F.lit("/"), text.pointer_escape(F.col("k"))), "field of another flow"))
+    lost = one.select("doc", "path", "flow", F.explode(F.array_except("needs", F.map_keys("kids"))).alias("k"))
+    code = F.when(F.col("flow") == "deviceAuthorization", "spec.security.device").otherwise("spec.security.flow.required")
+    out = out.unionByName(_issue(lost, code, F.concat("path", F.lit("/"), F.col("k")), "a URL is required"))
+    given = F.array_intersect(F.concat(_lits("refreshUrl"), F.col("needs")), F.map_keys("kids"))
+    urls = one.select("doc", "path", F.explode(given).alias("k"), "kids").withColumn("url", F.col("kids")[F.col("k")]["str"])
+    plain = F.col("url").rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~F.col("url").rlike("(?i)^https://[^/?#]")
+    bad = urls.where(F.col("url").isNull() | plain | ~F.coalesce(_uri(F.coalesce("url", F.lit(""))), F.lit(False)))
+    out = out.unionByName(_issue(bad, "spec.security.url", F.concat("path", F.lit("/"), F.col("k")), "no HTTPS URL"))
+    scopeless = one.where(~F.coalesce(F.col("kids")["scopes"]["kind"] == "object", F.lit(False)))
+    return out.unionByName(_issue(scopeless, "spec.security.scopes", F.concat("path", F.lit("/scopes")), "scopes are required"))
+
+
 def references(objects: DataFrame, nodes: DataFrame) -> DataFrame:
     """``doc, path, role, ref, target, code``: each reference, where it leads, and what is wrong with it.
 
@@ -474,13 +545,19 @@ def check(docs: DataFrame) -> DataFrame:
     fatal = nodes.where("kind = 'fatal'").select("doc", F.lit("spec.json").alias("code"), "path", F.col("str").alias("message"))
     nodes = nodes.where("kind <> 'fatal'")
     objects = graph.cut(node_source.objects_of(nodes))
-    broken = references(objects, nodes).where("code is not null")
+    found = graph.cut(references(objects, nodes))
+    broken = found.where("code is not null")
     parts = [
         fatal,
         shape_issues(nodes),
         object_issues(objects),
         path_issues(objects, nodes),
         identity_issues(objects),
+        item_issues(objects, nodes),
+        flow_issues(objects),
+        schema_graph.discriminator_issues(objects, nodes, found),
+        schema_graph.encoding_issues(objects, nodes, found),
+        schema_graph.xml_issues(objects, nodes),
         broken.select("doc", "code", "path", F.col("ref").alias("message")),
     ]
     return reduce(DataFrame.unionByName, (p.select(*_ISSUE) for p in parts)).orderBy("doc", "path", "code", "message")

@@ -16,7 +16,7 @@ def one(spark, column, value, kind="string"):
     ("value", "negative", "zero", "integer"),
     [
         ("0", False, True, True),
-        ("-0.0", False, True, True),
+        ("-0.0", True, True, True),
         ("-1", True, False, True),
         ("1.0", False, False, True),
         ("1.50", False, False, False),

@@ -210,6 +210,18 @@ ISSUES = [
     (described(servers={}), ["spec.server.array"]),
     (described(tags=[{"name": "a", "parent": "b"}, {"name": "b", "parent": "a"}, {"name": "c", "parent": "z"}]), ["spec.tag.cycle", "spec.tag.parent"]),
     (described(externalDocs={"url": "a b"}), ["spec.externalDocs.url"]),
+    (described(paths={"/a": {"get": operation(tags=["x", 1])}}), ["spec.operation.tags"]),
+    (described(security=[{"s": ["a", 1]}, 1]), ["spec.security.requirements", "spec.security.scopes"]),
+    (described(components={"schemas": {"A": {"required": ["a", "a"]}, "B": {"type": ["string", "string"]}, "C": {"type": ["string", "null"], "required": []}}}), ["spec.schema.keyword"] * 2),
+    (described(servers=[{"url": "/", "variables": {"v": {"default": "a", "enum": ["b"]}}}]), ["spec.serverVariable.default"]),
+    (described(components={"securitySchemes": {"s": {"type": "oauth2", "flows": {"implicit": {"authorizationUrl": "http://h", "scopes": {}, "tokenUrl": "u"}, "odd": {}, "deviceAuthorization": {"tokenUrl": "/t"}}}}}), ["spec.security.device", "spec.security.field", "spec.security.flow", "spec.security.scopes", "spec.security.url"]),
+    (described(components={"schemas": {"A": {"discriminator": {"propertyName": "p"}, "required": ["p"]}}}), ["spec.discriminator.context"]),
+    (described(components={"schemas": {"A": {"discriminator": {"propertyName": "p"}, "oneOf": [{"required": ["p"]}, {"$ref": "#/components/schemas/B"}]}, "B": {"required": ["p"]}}}), []),
+    (described(components={"schemas": {"A": {"discriminator": {"propertyName": "p"}, "oneOf": [{"required": ["p"]}, {}]}}}), ["spec.discriminator.default.required"]),
+    (described(components={"schemas": {"Pet": {"discriminator": {"propertyName": "p", "mapping": {"c": "Cat", "d": "Dog"}}, "required": ["p"]}, "Cat": {"allOf": [{"$ref": "#/components/schemas/Pet"}]}, "Dog": {}}}), ["spec.discriminator.target"]),
+    (described(components={"schemas": {"U": {"discriminator": {"propertyName": "p", "mapping": {"a": "#/components/schemas/Alias"}, "defaultMapping": "Cat"}, "anyOf": [{"$ref": "#/components/schemas/Cat"}, {}]}, "Cat": {"required": ["p"]}, "Alias": {"$ref": "#/components/schemas/Cat"}}}), ["spec.discriminator.default.optional"]),
+    (described(components={"mediaTypes": {"m": {"schema": {"$ref": "#/components/schemas/A"}, "itemEncoding": {}}, "n": {"schema": {"type": "object", "items": {}}, "itemEncoding": {}}}, "schemas": {"A": {"anyOf": [{"type": "string"}, {"type": ["array", "null"]}]}}}), ["spec.encoding.array"]),
+    (described(components={"schemas": {"A": {"type": "array", "xml": {"wrapped": True}}, "B": {"xml": {"wrapped": True}}}}), ["spec.xml.wrapped"]),
     (described(paths=[]), ["spec.object"]),
     ('{"openapi":"3.2.0","openapi":"3.2.0"}', ["spec.json"]),
 ]
