@@ -10,17 +10,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from assay.llm.common import arrow_batches, texts_as_bytes
 
-#: Distinct matches kept per worker, and the longest one kept.
-CACHE, CACHE_BYTES = 150_000, 64
+#: Distinct matches kept per worker before all are forgotten.
+CACHE = 300_000
+#: Bytes of the longest piece that is merged together with others.
+WIDEST = 64
 _NONE = 1 << 60
+#: Characters whose classes are written out below: ASCII without rare controls, Latin-1 and Latin Extended A.
+_PLAIN = re.compile("[\t\n\r -~¡-ſ]*")
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -78,50 +85,167 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """Merges many short pieces at once: the same trees, a row per piece.
+
+    Every round takes each row's root, merges that pair, writes the three
+    leaves it touches and renews their paths to the root.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.base = max(ranks.values()) + 1
+        keys = [
+            (ranks[token[:k]] * self.base + ranks[token[k:]], rank)
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        ]
+        table = np.array(sorted(keys) or [(-1, 0)], np.int64)
+        self.keys, self.ranks = table[:, 0].copy(), table[:, 1].copy()
+
+    def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Leaf values of pairs of ids; an id of -1 is no part."""
+        wanted = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        found = (self.keys[at] == wanted) & (left >= 0) & (right >= 0)
+        return np.where(found, (self.ranks[at] << 32) | place, _NONE)
+
+    def __call__(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece; all have at most ``WIDEST`` bytes."""
+        out: list[list[int]] = [[] for _ in pieces]
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        size = 1
+        while len(pieces):
+            rows = np.flatnonzero((lengths <= size) & (lengths > size // 2 if size > 1 else lengths > 0))
+            for lo in range(0, len(rows), 8192):
+                part = rows[lo : lo + 8192]
+                for k, ids in zip(part.tolist(), self._merged([pieces[k] for k in part.tolist()], size), strict=True):
+                    out[k] = ids
+            if size >= lengths.max():
+                return out
+            size *= 2
+        return out
+
+    def _merged(self, pieces: list[bytes], size: int) -> list[list[int]]:
+        n = len(pieces)
+        raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(n, size)
+        alive = np.arange(size) < np.array([len(p) for p in pieces])[:, None]
+        ids = np.full((n, size + 1), -1, np.int64)
+        ids[:, :size] = np.where(alive, self.byte_ids[raw], -1)
+        ends = np.tile(np.arange(1, size + 2), (n, 1))
+        before = np.tile(np.arange(-1, size), (n, 1))
+        places = np.arange(size)
+        tree = np.full((n, 2 * size), _NONE, np.int64)
+        tree[:, size:] = self._leaf(ids[:, :-1], ids[:, 1:], places)
+        level = size
+        while level > 1:
+            half = level // 2
+            tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level = half
+        live = np.arange(n)
+        while True:
+            live = live[tree[live, 1] != _NONE]
+            if not len(live) or size == 1:
+                break
+            root = tree[live, 1]
+            i = root & 0xFFFFFFFF
+            mid = ends[live, i]
+            end = ends[live, mid]
+            ids[live, i] = root >> 32
+            ids[live, mid] = -1
+            alive[live, mid] = False
+            ends[live, i] = end
+            inside = end <= size
+            before[live[inside], end[inside]] = i[inside]
+            prior = before[live, i]
+            first = prior < 0
+            prior = np.where(first, i, prior)
+            following = ids[live, np.minimum(end, size)]
+            value = self._leaf(ids[live, i], following, i)
+            tree[live, size + mid] = _NONE
+            tree[live, size + i] = value
+            left = np.where(first, -1, ids[live, prior])
+            tree[live, size + prior] = np.where(first, value, self._leaf(left, ids[live, i], prior))
+            row = np.concatenate([live, live, live])
+            at = size + np.concatenate([mid, i, prior])
+            step = size
+            while step > 1:
+                at >>= 1
+                tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])
+                step >>= 1
+        flat = ids[:, :size][alive].tolist()
+        cuts = np.cumsum(alive.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
 class Codec:
     """Encodes and decodes texts by a table of ranks and a splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: token for token, i in ranks.items()}
+        self.decimal = {i: b"%d" % i for i in self.tokens}
+        self.merger = Merger(ranks)
         # white space by the Unicode property: Python's \s also takes U+001C to U+001F
         wide = pattern.replace("[^\\s", "[^\\p{White_Space}").replace("\\s", "\\p{White_Space}")
-        self.find = regex.compile(wide.replace("\\S", "\\P{White_Space}")).findall
+        self.find_any = regex.compile(wide.replace("\\S", "\\P{White_Space}")).findall
+        plain = pattern.replace("\\p{L}\\p{N}]", f"{_LETTER}{_NUMBER}]").replace("\\p{L}", f"[{_LETTER}]").replace("\\p{N}", f"[{_NUMBER}]")
+        self.find_plain = None if "\\p" in plain else re.compile(plain).findall
         self.met: dict[str, tuple[int, bytes, bytes]] = {}
 
-    def piece(self, text: str) -> list[int]:
-        raw = text.encode()
-        whole = self.ranks.get(raw)
-        return [whole] if whole is not None else merge(raw, self.ranks)
+    def find(self, text: str) -> list[str]:
+        """The matches of the pattern, which partition the text."""
+        if self.find_plain and _PLAIN.fullmatch(text):
+            return self.find_plain(text)
+        return self.find_any(text)
+
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each match of the pattern: its own id if it is a token, else by merging."""
+        raw = [t.encode() for t in texts]
+        out: list = [None] * len(raw)
+        short = []
+        for k, piece in enumerate(raw):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[k] = [whole]
+            elif len(piece) <= WIDEST:
+                short.append(k)
+            else:
+                out[k] = merge(piece, self.ranks)
+        for k, ids in zip(short, self.merger([raw[k] for k in short]), strict=True):
+            out[k] = ids
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.find(text) for i in self.piece(part)]
+        return [i for ids in self.pieces(self.find(text)) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _entry(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids in decimal, and the bytes they decode to."""
-        ids = self.piece(text)
-        entry = len(ids), b",".join(b"%d" % i for i in ids), self.decode(ids)
-        if len(text) <= CACHE_BYTES:
-            if len(self.met) >= CACHE:
-                self.met.clear()
-            self.met[text] = entry
-        return entry
-
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal, SHA-256 of what they decode to."""
-        ids, decoded = hashlib.sha256(), hashlib.sha256()
-        get, n, lead = self.met.get, 0, b""
-        parts = self.find(text)
-        for lo in range(0, len(parts), 1 << 16):
-            got = [get(p) or self._entry(p) for p in parts[lo : lo + (1 << 16)]]
-            n += sum([g[0] for g in got])
-            ids.update(lead + b",".join([g[1] for g in got]))
-            decoded.update(b"".join([g[2] for g in got]))
-            lead = b","
-        return n, ids.hexdigest(), decoded.hexdigest()
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the matches not met so far, all at once."""
+        if len(self.met) > CACHE:
+            self.met.clear()
+        new = list(set().union(*texts) - self.met.keys())
+        decimal = self.decimal.__getitem__
+        for text, ids in zip(new, self.pieces(new), strict=True):
+            self.met[text] = len(ids), b",".join(map(decimal, ids)), self.decode(ids)
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the ids in decimal, SHA-256 of what they decode to."""
+        matches = list(map(self.find, texts))
+        self.learn(matches)
+        out = []
+        for parts in matches:
+            got = list(map(self.met.__getitem__, parts))
+            ids, decoded = hashlib.sha256(), hashlib.sha256()
+            for lo in range(0, len(got), 1 << 16):
+                some = got[lo : lo + (1 << 16)]
+                ids.update((b"," if lo else b"") + b",".join([g[1] for g in some]))
+                decoded.update(b"".join([g[2] for g in some]))
+            out.append((sum([g[0] for g in got]), ids.hexdigest(), decoded.hexdigest()))
+        return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -150,7 +274,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def run(batches):
         own = codec(vocabulary)
         for batch in batches:
-            got = [own.digests(t.decode()) for t in texts_as_bytes(batch.column(1))]
+            got = own.digests([t.decode() for t in texts_as_bytes(batch.column(1))])
             columns = [batch.column(0), pa.array([g[0] for g in got], pa.int64())]
             columns += [pa.array([g[k] for g in got], pa.string()) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
