@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import text
-from assay.operators import budgets, conditions, folds, graph, projection, schema
-from assay.plans import document
-from assay.sources import streams
+from assay.operators import budgets, conditions, folds, graph, instance, projection, schema
+from assay.plans import build, document
+from assay.sources import nodes, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -388,7 +390,215 @@ def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node rows of ``events.props``."""
-    from assay.sources import nodes
-
     events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc"), F.col("props").alias("content"))
     return nodes.parsed(events).select("doc", "path", "parent", "key", "depth", "kind", "num_text")
+
+
+@query("""
+SELECT event_id, '/k' AS path, 'minimum' AS keyword FROM events WHERE CAST(props ->> '$.k' AS BIGINT) < 10
+UNION ALL SELECT event_id, '' AS path, 'required' AS keyword FROM events WHERE (props -> '$.k') IS NULL""")
+def evaluated_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed checks of ``events.props`` by the whole evaluator."""
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    found = instance.validated(events, "props", json.dumps(PROPS_SCHEMA))
+    return found.select("event_id", F.explode("errors").alias("e")).select("event_id", "e.path", "e.keyword")
+
+
+@query(r"""
+SELECT p_partkey, regexp_full_match(p_brand, '[A-Za-z0-9!#$%&''*+.^_`|~-]+') AS token,
+  regexp_full_match(p_brand || '/' || p_type, '[A-Za-z0-9!#$%&''*+.^_`|~-]+/[A-Za-z0-9!#$%&''*+.^_`|~-]+') AND NOT contains(p_brand || p_type, '*') AS media,
+  regexp_full_match(CAST(p_size * 20 AS VARCHAR), 'default|[1-5](XX|[0-9]{2})') AS status,
+  regexp_full_match(p_name, '[a-zA-Z0-9._-]+') AS component, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_.-]*') AS anchor,
+  p_size * 20 BETWEEN 100 AND 199 OR p_size * 20 IN (204, 304) AS bodyless
+FROM part""")
+def token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names read as tokens, media types, statuses, components and anchors."""
+    status = (F.col("p_size") * 20).cast("string")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        text.http_token(F.col("p_brand")).alias("token"),
+        text.media_type(F.concat("p_brand", F.lit("/"), "p_type")).alias("media"),
+        text.status_key(status).alias("status"),
+        text.component_name(F.col("p_name")).alias("component"),
+        text.anchor_name(F.col("p_name")).alias("anchor"),
+        text.bodyless_status(status).alias("bodyless"),
+    )
+
+
+@query(r"""
+WITH e AS (SELECT page_id, replace(replace(url, '~', '~0'), '/', '~1') AS segment FROM pages)
+SELECT page_id, segment, replace(replace(segment, '~1', '/'), '~0', '~') AS url, '/a/' || segment AS pointer, '/a' AS parent FROM e""")
+def pointer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs as pointer segments and back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", text.pointer_escape(F.col("url")).alias("segment"))
+    pointed = pages.withColumn("pointer", F.concat(F.lit("/a/"), "segment"))
+    return pointed.select(
+        "page_id", "segment", text.pointer_unescape(F.col("segment")).alias("url"), "pointer", text.pointer_parent(F.col("pointer")).alias("parent")
+    )
+
+
+@query("""
+WITH v(variant, langs, sources) AS (VALUES ('a', ['en', 'fr'], CAST([] AS VARCHAR[])), ('b', ['de'], ['src0', 'src1']))
+SELECT DISTINCT lang AS operation_key, lang AS method, source AS media FROM documents d WHERE NOT EXISTS (
+  SELECT 1 FROM v WHERE list_contains(langs, d.lang) AND (len(sources) = 0 OR list_contains(sources, d.source)))""")
+def uncovered_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and sources that no variant covers."""
+    rows = [(lang, name, langs, [], sources, []) for name, langs, sources in (("a", ["en", "fr"], []), ("b", ["de"], ["src0", "src1"])) for lang in langs]
+    variants = spark.createDataFrame(
+        rows,
+        "operation_key string, variant string, methods array<string>, except_methods array<string>, media_types array<string>, except_media_types array<string>",
+    )
+    docs = table(spark, sf_dir, "documents")
+    routes = docs.select(F.col("lang").alias("operation_key"), F.col("lang").alias("method"), F.array("source").alias("media")).distinct()
+    return conditions.uncovered(routes, variants)
+
+
+@query("""
+WITH c AS (SELECT p_brand AS owner, p_type AS name, p_size % 3 AS depth, p_retailprice > 1000 AS tagged FROM part),
+r AS (SELECT *, rank() OVER (PARTITION BY owner, name ORDER BY depth, tagged DESC) AS place FROM c),
+b AS (SELECT owner, name, depth, tagged, count(*) OVER (PARTITION BY owner, name) AS n FROM r WHERE place = 1)
+SELECT owner, name, depth, tagged FROM b WHERE n = 1""")
+def wire_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that owns each name of a brand, where one does."""
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("owner"), F.col("p_type").alias("name"), (F.col("p_size") % 3).alias("depth"), (F.col("p_retailprice") > 1000).alias("tagged")
+    )
+    return projection.wire_fields(parts, ["owner"])
+
+
+@query("""
+SELECT user_id, min(event_id) FILTER (event_type = 'view') AS "GET", min(event_id) FILTER (event_type = 'click') AS "POST",
+  min(event_id) FILTER (event_type = 'signup') AS "PUT", array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type IN ('error', 'purchase'))), ',') AS additional
+FROM events GROUP BY user_id""")
+def method_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First events of each user by fixed method, and the names of other methods."""
+    kinds = F.create_map(*(F.lit(x) for x in ("view", "GET", "click", "POST", "signup", "PUT")))
+    events = table(spark, sf_dir, "events").select("user_id", F.coalesce(kinds[F.col("event_type")], "event_type").alias("method"), "event_id")
+    wide = projection.method_pivot(events, "user_id", "method", F.col("event_id"))
+    names = F.array_join(F.array_sort(F.map_keys("additional")), ",")
+    return wide.select("user_id", "GET", "POST", "PUT", names.alias("additional"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_partkey % 3 = 0 AS passes FROM part WHERE p_partkey > 1),
+walk(root, node, inherits) AS (
+  SELECT p_partkey, p_partkey, false FROM part WHERE p_partkey < 6
+  UNION SELECT root, src, inherits OR passes FROM walk JOIN e ON dst = node)
+SELECT DISTINCT root, node FROM walk WHERE inherits""")
+def inheriting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that lead to the first five parts over at least one inheriting edge."""
+    parts = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "allOf").otherwise("ref")
+    edges = parts.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"), kind.alias("kind"))
+    return graph.descendants(edges, parts.where("p_partkey < 6").select(F.col("p_partkey").alias("node")))
+
+
+@query("""
+WITH t AS (SELECT p_type AS name, CASE WHEN p_size > 45 THEN p_brand END AS parent FROM part)
+SELECT 'tag.duplicate' AS code, name FROM t GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'tag.parent', name FROM t WHERE parent IS NOT NULL AND parent NOT IN (SELECT name FROM t)""")
+def tag_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types that repeat, and those whose parent is no type."""
+    parent = F.when(F.col("p_size") > 45, F.col("p_brand"))
+    return graph.hierarchy_issues(table(spark, sf_dir, "part").select(F.col("p_type").alias("name"), parent.alias("parent")))
+
+
+@query("""
+WITH RECURSIVE needs AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1 AND p_partkey % 5 <> 0),
+walk(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT n.node FROM walk w JOIN needs n ON n.needs = w.node)
+SELECT node FROM walk""")
+def proven_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose chain of needs ends at part 1; both needs of a proof are the same part here."""
+    parts = table(spark, sf_dir, "part").where("p_partkey > 1 and p_partkey % 5 <> 0")
+    rules = parts.select(F.col("p_partkey").alias("node"), F.lit(1).alias("proof"), F.expr("p_partkey div 2").alias("needs"))
+    return graph.proven(spark.createDataFrame([(1,)], "node long"), rules)
+
+
+_STATUS = {"view": "200", "click": "201", "error": "500", "signup": None, "purchase": "204"}
+
+
+@query("""
+WITH p AS (SELECT user_id % 400 + CAST(event_id % 200 AS BIGINT) AS k, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 201 WHEN 'error' THEN 500 WHEN 'purchase' THEN 204 END AS status,
+  value > 5 AS reads FROM events)
+SELECT k, coalesce(bool_and(status IS NOT NULL) AND bool_and(reads) FILTER (status < 400), false) AS body_required,
+  bool_and(coalesce(status BETWEEN 400 AND 599, false)) AS rejected FROM p GROUP BY k""")
+def inferred_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of events read as paths: whether the body is required, and whether all are rejected."""
+    kinds = F.create_map(*(F.lit(x) for k, v in _STATUS.items() if v for x in (k, v)))
+    paths = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 400 + F.col("event_id") % 200).alias("k"), kinds[F.col("event_type")].alias("status"), (F.col("value") > 5).alias("reads_body")
+    )
+    return folds.body_required(paths, ["k"]).join(folds.rejected_only(paths, ["k"]), "k")
+
+
+@query("""
+SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")
+def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of rows with sorted columns."""
+    return projection.fingerprint(table(spark, sf_dir, "nation"), ["n_nationkey"])
+
+
+@query("""
+SELECT n_nationkey AS key, n_name AS name, 'missing' AS side FROM nation WHERE n_regionkey = 0
+UNION ALL SELECT r_regionkey, r_name, 'extra' FROM region""")
+def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that only one of two tables has."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), "n_regionkey")
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    others = nations.where("n_regionkey <> 0").drop("n_regionkey")
+    return budgets.stale(nations.drop("n_regionkey"), others.unionByName(regions))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n_records, count(*) FILTER (contains(rtrim(line, chr(13)), chr(13))) AS n_bad FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY doc_id""")
+def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank records of each document, and those with a bare CR."""
+    found = streams.records(table(spark, sf_dir, "documents"), "text", ["doc_id"], max_items=1 << 30)
+    bad = F.sum((F.col("code") == "contract.ndjson").cast("long"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_records"), F.coalesce(bad, F.lit(0)).alias("n_bad"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, '/' || regexp_replace(regexp_extract(url, '://[^/?#]*/([^?#]*)', 1), '([a-z]+)/([0-9]+)', '{\1}/{id\2}') AS path FROM pages),
+x AS (SELECT page_id, path, regexp_extract_all(path, '\{([^}]*)\}', 1) AS names FROM p)
+SELECT page_id, path, CAST(i - 1 AS INTEGER) AS position, names[i] AS name FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM x)""")
+def path_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names between braces of templates made from page paths."""
+    tail = F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)
+    path = F.concat(F.lit("/"), F.regexp_replace(tail, "([a-z]+)/([0-9]+)", "{$1}/{id$2}"))
+    return projection.derived_parameters(table(spark, sf_dir, "pages").select("page_id", path.alias("path")))
+
+
+@query("""
+SELECT c_nationkey AS place, c_mktsegment AS name, c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS first_holder
+FROM customer QUALIFY c_custkey > first_holder""")
+def repeated_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers after the first of their nation and segment."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("place"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("id"))
+    return budgets.duplicates(rows, ["place", "name"], "id")
+
+
+@query()
+def linked_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of routes made from page paths, linked to four variants."""
+    variants = spark.createDataFrame(
+        [
+            ("page", "a", ["GET"], [], [], [], "200", "string", "read", False),
+            ("page", "b", ["POST"], [], ["application/json"], [], "201", "integer", "make", True),
+            ("page", "c", ["POST"], [], ["text/plain"], [], "201", "string", "make", True),
+            ("page", "d", [], ["GET", "POST"], [], [], "405", "null", None, False),
+        ],
+        "operation_key string, variant string, methods array<string>, except_methods array<string>, media_types array<string>, "
+        "except_media_types array<string>, status string, schema string, description string, reads_body boolean",
+    )
+    even = F.col("page_id") % 2 == 0
+    media = F.when(even, F.array().cast("array<string>")).otherwise(F.array(F.lit("application/json"), F.lit("text/plain")))
+    routes = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("route"),
+        F.when(even, "GET").otherwise("POST").alias("method"),
+        F.regexp_extract("url", "://[^/?#]*(/[^?#]*)", 1).alias("path"),
+        F.lit("page").alias("operation_key"),
+        media.alias("media"),
+    )
+    return build.operations(routes, variants)
