@@ -22,14 +22,15 @@ from assay.llm.simhash import shingle_hashes
 #: At most about so many labelled documents are fitted on: those with the
 #: smallest hashes of their ids.
 TRAIN_DOCS = 8_000
-#: Words kept as features: those that tell most about some category.
-FEATURES = 192
+#: Words that a category's model sees: at most so many, those that tell most
+#: about it, and none whose log-likelihood ratio is under ``LEAST_TOLD``.
+FEATURES, LEAST_TOLD = 192, 12.0
 #: The least share of the sample that has a feature word, and the least number.
 MIN_SHARE, MIN_DOCS = 0.01, 8
 #: Candidate words that reach the driver.
 CANDIDATES = 20_000
 FOLDS = 5
-PENALTY = 1.0
+PENALTY = 0.1
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,17 +88,27 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str]) -> Chain:
-    """Fit the chain; ``fold`` numbers the rows' folds from 0."""
+def fit_chain(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str], used: np.ndarray | None = None
+) -> Chain:
+    """Fit the chain; ``fold`` numbers the rows' folds from 0.
+
+    ``used`` (categories x words) says which words a category's model sees; without it, all.
+    """
+    used = np.ones((len(categories), len(words)), bool) if used is None else used
     earlier, weights = np.zeros((len(x), 0)), []
     for k in range(len(categories)):
-        inputs = np.column_stack([x, earlier])
-        weights.append(fit_linear(inputs, y[:, k], weight))
+        inputs = np.column_stack([x[:, used[k]], earlier])
+        fitted = fit_linear(inputs, y[:, k], weight)
+        whole = np.zeros(len(words) + k + 1)
+        whole[np.flatnonzero(used[k])] = fitted[: used[k].sum()]
+        whole[len(words) :] = fitted[used[k].sum() :]
+        weights.append(whole)
         out = np.empty(len(x))
         for f in range(FOLDS):
             own = fold == f
             if own.all():
-                out[own] = apply_linear(inputs[own], weights[-1])
+                out[own] = apply_linear(inputs[own], fitted)
             elif own.any():
                 out[own] = apply_linear(inputs[own], fit_linear(inputs[~own], y[~own, k], weight[~own]))
         earlier = np.column_stack([earlier, out])
@@ -176,8 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     least = max(MIN_DOCS, MIN_SHARE * total["n"])
     seen = sample.select(F.explode("words").alias("word"), "weight", *categories).groupBy("word").agg(*sums)
     seen = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
-    told = sorted(((-max(_told(total["n"], total[c], r["n"], r[c]) for c in categories), r["word"]) for r in seen))
-    words = [w for _, w in told[:FEATURES]]
+    told = {r["word"]: [_told(total["n"], total[c], r["n"], r[c]) for c in categories] for r in seen}
+    chosen = [
+        [w for w in sorted(told, key=lambda w: (-told[w][k], w))[:FEATURES] if told[w][k] >= LEAST_TOLD] for k in range(n_categories)
+    ]
+    words = sorted(set().union(*chosen))
+    used = np.array([[w in set(own) for w in words] for own in chosen]).reshape(n_categories, len(words))
     at = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     table = sample.select("fold", "weight", F.array_intersect("words", at).alias("words"), *categories).collect()
     index = {w: i for i, w in enumerate(words)}
@@ -186,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         x[i, [index[w] for w in r["words"]]] = 1
     y = np.array([[r[c] for c in categories] for r in table], float)
     weight = np.array([r["weight"] for r in table])
-    return fit_chain(x, y, weight, np.array([r["fold"] for r in table]), words, categories)
+    return fit_chain(x, y, weight, np.array([r["fold"] for r in table]), words, categories, used)
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
