@@ -278,6 +278,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             columns = [batch.column(0), pa.array([g[0] for g in got], pa.int64())]
             columns += [pa.array([g[k] for g in got], pa.string()) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.met.clear()  # the worker lives on, and others need its memory
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -36,11 +36,12 @@ from assay.llm.common import arrow_batches, cut, texts_as_bytes
 LENGTH = 100
 GRAM = 40
 #: Fragments reduced together before the shuffle.
-BUFFER = 400_000
+BUFFER = 250_000
 #: Bytes of a collection and of a shard. A group of fragments with one minimizer is never split.
-COLLECTION, SHARD = 2 << 20, 256 << 10
+COLLECTION, SHARD = 512 << 10, 64 << 10
 #: A minimizer with about this many places is split by window, as one in HOT_SAMPLE documents shows.
-HOT_PLACES, HOT_SAMPLE = 200_000, 64
+#: This bounds a group of fragments to about a megabyte, and its merge to about a hundred.
+HOT_PLACES, HOT_SAMPLE = 8_000, 64
 #: Marks a number of windows whose minimizer recurs.
 RECURS = 1 << 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,16 +155,16 @@ def repeated_windows(fragments: list[bytes], windows: list[int], length: int = L
     sizes = np.array([w + length - 1 for w in windows], np.int64)
     text = np.frombuffer(b"".join(f[:n] for f, n in zip(fragments, sizes.tolist(), strict=True)), np.uint8)
     starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(text)) - starts[owner]
-    left = np.minimum(sizes[owner] - place, length)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = np.arange(len(text), dtype=np.int32) - starts.astype(np.int32)[owner]
+    left = np.minimum(sizes.astype(np.int32)[owner] - place, length)
     # shards of whole fragments, dealt in turn so that likes meet in the merge
     n_shards = max(1, min(len(sizes), -(-len(text) // shard)))
-    member = (np.arange(len(sizes)) % n_shards)[owner]
+    member = (np.arange(len(sizes)) % n_shards).astype(np.int16 if n_shards < 1 << 15 else np.int32)[owner]
     suffixes, transforms, links = [], [], []
     rank, base = np.empty(len(text), np.int32), 0
     for s in range(n_shards):
-        own = np.flatnonzero(member == s)
+        own = np.flatnonzero(member == s).astype(np.int32)
         order = own[_shard_order(text, own, left[own])]
         rank[order] = np.arange(base, base + len(order), dtype=np.int32)
         begins = place[order] == 0
