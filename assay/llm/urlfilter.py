@@ -62,8 +62,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     Other columns are ignored.
     """
     rules = prepared(rules)
-    shapes = [(r.labels, r.path_length) for r in rules.select("labels", "path_length").distinct().collect()]
-    n_rules = rules.count()
+    # as many shapes as there are pairs of label counts and path lengths
+    kinds = rules.groupBy("labels", "path_length").count().collect()
+    shapes, n_rules = [(r["labels"], r["path_length"]) for r in kinds], sum(r["count"] for r in kinds)
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     # the first expression is the row itself; it counts rows and meets no rule
