@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         [w for w in sorted(told, key=lambda w: (-told[w][k], w))[:FEATURES] if told[w][k] >= LEAST_TOLD] for k in range(n_categories)
     ]
     words = sorted(set().union(*chosen))
-    used = np.array([[w in set(own) for w in words] for own in chosen]).reshape(n_categories, len(words))
+    used = np.array([[w in own for w in words] for own in map(set, chosen)], bool).reshape(n_categories, len(words))
     at = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     table = sample.select("fold", "weight", F.array_intersect("words", at).alias("words"), *categories).collect()
     index = {w: i for i, w in enumerate(words)}
