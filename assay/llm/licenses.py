@@ -211,13 +211,20 @@ def needed_words() -> tuple[str, ...]:
         for pair in open_pairs:
             for w in set(pair) - _COMMON:
                 by[w] += 1
-        chosen.add(max(by, key=lambda w: (by[w], w)))
+        # long words are rare in prose, so they let less through
+        chosen.add(max(by, key=lambda w: (by[w] * len(w), w)))
 
 
 #: Words too common to select paragraphs by.
 _COMMON = {"the", "of", "and", "a", "in", "to", "is", "this", "with", "or", "it", "by", "for", "on", "at", "be", "are", "any", "as", "you", "may", "that", "not", "all", "under", "version", "work", "free", "see", "use", "only"}
 
 
+def _may_confirm(column: str) -> Column:
+    """Whether a text has one of the needed words: one split and one hash set, whatever their number."""
+    words = F.split(F.lower(F.col(column)), "[^a-z0-9]+")
+    return F.arrays_overlap(words, F.array(*map(F.lit, needed_words())))
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
@@ -236,12 +243,11 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     model = classifier()
-    select = "(?i)(?:" + "|".join(needed_words()) + ")"
     lines = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .where(F.col("text").rlike(select))
+        .where(_may_confirm("text"))
         .select("doc_id", F.explode(F.split("text", "\n")).alias("paragraph"))
-        .where(F.col("paragraph").rlike(select))
+        .where(_may_confirm("paragraph"))
     )
     # a paragraph that many documents share is scored once
     kinds = lines.groupBy("paragraph").agg(F.count(F.lit(1)).alias("met")).select("paragraph")
