@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import arrow_batches, cut
@@ -25,10 +25,9 @@ TRAIN_DOCS = 8_000
 #: Words that a category's model sees: at most so many, those that tell most
 #: about it, and none whose log-likelihood ratio is under ``LEAST_TOLD``.
 FEATURES, LEAST_TOLD = 192, 12.0
-#: The least share of the sample that has a feature word, and the least number.
-MIN_SHARE, MIN_DOCS = 0.01, 8
-#: Candidate words that reach the driver.
-CANDIDATES = 20_000
+#: The least number of sampled documents that have a feature word. No share of
+#: the sample is asked for, so words of rare languages count as those of common ones.
+MIN_DOCS = 4
 FOLDS = 5
 PENALTY = 0.1
 THRESHOLD = 0.5
@@ -121,18 +120,19 @@ def _likeness(text: str) -> int:
     return least >> 1
 
 
-def _told(n: float, n_pos: float, has: float, has_pos: float) -> float:
+def _told(n: float, n_pos: float, has: Column, has_pos: Column) -> Column:
     """The log-likelihood ratio of a word and a category."""
 
-    def part(a: float, b: float) -> float:
-        return a * np.log(a / b) if a > 0 else 0.0
+    def part(a: Column, b: Column) -> Column:
+        # sums of weights may miss zero by a rounding error
+        return F.when((a > 1e-9) & (b > 1e-9), a * F.log(a / b)).otherwise(0.0)
 
     neg, out = n - n_pos, n - has
     return (
-        part(has_pos, has * n_pos / n)
-        + part(has - has_pos, has * neg / n)
-        + part(n_pos - has_pos, out * n_pos / n)
-        + part(neg - (has - has_pos), out * neg / n)
+        part(has_pos, has * (n_pos / n))
+        + part(has - has_pos, has * (neg / n))
+        + part(n_pos - has_pos, out * (n_pos / n))
+        + part(neg - (has - has_pos), out * (neg / n))
     )
 
 
@@ -184,12 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     total = sample.agg(*sums).first()
     if not total["n"]:
         return Chain({}, tuple(categories), tuple(np.array([0.0] * k + [-50.0]) for k in range(n_categories)))
-    least = max(MIN_DOCS, MIN_SHARE * total["n"])
     seen = sample.select(F.explode("words").alias("word"), "weight", *categories).groupBy("word").agg(*sums)
-    seen = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
-    told = {r["word"]: [_told(total["n"], total[c], r["n"], r[c]) for c in categories] for r in seen}
+    told = [_told(total["n"], total[c], F.col("n"), F.col(f"`{c}`")).alias(f"told{k}") for k, c in enumerate(categories)]
+    seen = seen.where(F.col("n") >= MIN_DOCS - 1e-6).select("word", *told)
+    seen = cut(seen.where(F.greatest(F.lit(0.0), *(F.col(f"told{k}") for k in range(n_categories))) >= LEAST_TOLD))
     chosen = [
-        [w for w in sorted(told, key=lambda w: (-told[w][k], w))[:FEATURES] if told[w][k] >= LEAST_TOLD] for k in range(n_categories)
+        [r["word"] for r in seen.where(F.col(f"told{k}") >= LEAST_TOLD).orderBy(F.desc(f"told{k}"), "word").limit(FEATURES).collect()]
+        for k in range(n_categories)
     ]
     words = sorted(set().union(*chosen))
     used = np.array([[w in own for w in words] for own in map(set, chosen)], bool).reshape(n_categories, len(words))

@@ -38,3 +38,17 @@ def test_odd_rows(spark, docs):
     none = toxicity.classify(docs(ODD), labels.limit(0)).collect()
     assert not any(r.toxic for r in none)
     assert toxicity.classify(docs([]), labels).collect() == []
+
+
+def test_recall_in_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").dropna()
+    found = toxicity.predict(docs.join(labels, "doc_id"), toxicity.fit_labelled(docs, labels))
+    by = {}
+    for r in found.select("lang", "toxic", "p_toxic").collect():
+        caught = by.setdefault(r.lang, ([], []))
+        caught[r.toxic].append(r.p_toxic >= toxicity.THRESHOLD)
+    shares = {lang: (np.mean(clean), np.mean(toxic)) for lang, (clean, toxic) in by.items()}
+    print(shares, {lang: (sum(c), len(c), sum(t), len(t)) for lang, (c, t) in by.items()})
+    assert set(shares) == {"en", "fr", "de", "es"}
+    assert all(clean <= 0.01 and toxic >= 0.8 for clean, toxic in shares.values())
