@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import langid, packing, simhash, suffix, toxicity
+from assay.llm import langid, packing, similar, simhash, suffix, toxicity
 from assay.llm.common import stored
 from assay.llm.queries import WORD_VOCABULARY
 
@@ -33,10 +33,19 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group with close fingerprints."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates.
+
+    Close fingerprints take most copies away; of what they leave, one text stays
+    of those linked by five-word shingles of similarity 0.8 or more.
+    """
+    return similar.keep_dissimilar(stored(near_dedup(spark, docs, sf_dir))).select(*docs.columns)
+
+
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 100 bytes that came earlier, and their new lengths."""
     left = suffix.deduplicate(docs)
@@ -51,7 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language),
     ("toxicity", not_toxic),
-    ("simhash_near_dedup", near_dedup),
+    ("simhash_near_dedup", dissimilar),
     ("suffix_array_dedup", repeats_removed),
     ("best_fit_packing", packed),
 ]
