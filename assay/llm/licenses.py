@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions only.
 
-A paragraph (a line of a text) is read as lower-cased words. Its unigrams and
+A paragraph (a line of a text, or consecutive lines of a wrapped one) is read as lower-cased words. Its unigrams and
 bigrams are the features of a softmax regression over licence families, whose
 weights are sparse. The training paragraphs are made from the templates below
 and from plain sentences by fixed rules; training runs on the driver. A
@@ -24,6 +24,8 @@ UNKNOWN = "unknown"
 THRESHOLD = 0.7
 #: The least share of a template's bigrams that a paragraph must have.
 CONFIRM = 0.5
+#: Numbers of consecutive lines that are read together, for notices wrapped over lines.
+WINDOWS = (2, 4, 8)
 #: Weights smaller than this are dropped.
 SPARSE = 0.02
 EPOCHS, RATE, DECAY = 30, 0.3, 1e-4
@@ -240,20 +242,39 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, paragraph, n, family, probability, confirmed`` of the paragraphs that may name a licence.
 
     Equal paragraphs of a document are judged once; ``n`` says how often they came.
+    Notices wrapped over lines count once for each family.
     """
     spark = docs.sparkSession
     model = classifier()
-    lines = (
+    texts = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .where(_may_confirm("text"))
-        .select("doc_id", F.explode(F.split("text", "\n")).alias("paragraph"))
-        .where(_may_confirm("paragraph"))
+        .select("doc_id", F.split("text", "\r?\n").alias("lines"))
     )
+    single = texts.select("doc_id", F.explode("lines").alias("paragraph"), F.lit(False).alias("wrapped"))
+    # a notice of up to eight lines is whole in some window
+    many = [
+        F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i, n=n: F.array_join(F.slice(F.col("lines"), i, n), " "))
+        for n in WINDOWS
+    ]
+    joined = texts.where(F.size("lines") > 1).select("doc_id", F.explode(F.concat(*many)).alias("paragraph"), F.lit(True).alias("wrapped"))
+    lines = single.unionByName(joined).where(_may_confirm("paragraph"))
     # a paragraph that many documents share is scored once
     kinds = lines.groupBy("paragraph").agg(F.count(F.lit(1)).alias("met")).select("paragraph")
     scored = _scored(kinds, spark, model)
-    counted = lines.groupBy("doc_id", "paragraph").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(scored, "paragraph").select("doc_id", "paragraph", "n", "family", "probability", "confirmed")
+    counted = lines.groupBy("doc_id", "paragraph", "wrapped").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.join(scored, "paragraph")
+    alone = found.where("not wrapped").drop("wrapped")
+    # windows around a line that is a notice by itself add nothing
+    own = alone.where("confirmed").select(F.col("doc_id").alias("own_id"), F.col("paragraph").alias("own"))
+    over = found.where("wrapped and confirmed").join(
+        own, F.col("doc_id").eqNullSafe(F.col("own_id")) & F.contains("paragraph", "own"), "left_anti"
+    )
+    # windows overlap, so those of a family count once
+    over = over.groupBy("doc_id", "family").agg(F.max_by("paragraph", F.struct("probability", "paragraph")).alias("paragraph"), F.max("probability").alias("probability"))
+    over = over.select("doc_id", "paragraph", F.lit(1).cast("long").alias("n"), "family", "probability", F.lit(True).alias("confirmed"))
+    columns = ["doc_id", "paragraph", "n", "family", "probability", "confirmed"]
+    return alone.select(*columns).unionByName(over.select(*columns))
 
 
 def _scored(kinds: DataFrame, spark: SparkSession, model: Classifier) -> DataFrame:

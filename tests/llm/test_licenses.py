@@ -1,3 +1,5 @@
+import textwrap
+
 from assay.llm import licenses
 from tests.llm.conftest import ODD
 
@@ -35,3 +37,13 @@ def test_every_template_is_recognised():
     for t in licenses.PLAIN:
         p = model.probabilities(licenses.words_of(t))
         assert model.families[p.index(max(p))] == licenses.UNKNOWN or max(p) < licenses.THRESHOLD
+
+
+def test_wrapped_notices(docs):
+    wrapped = {family: [textwrap.fill(t, 72) for t in texts] for family, texts in licenses.TEMPLATES.items()}
+    pairs = [(f"{family}", w) for family, ws in wrapped.items() for w in ws if "\n" in w]
+    texts = [(i, f"Some prose.\n\n{w}\n\nmore prose") for i, (_, w) in enumerate(pairs)]
+    got = {r.doc_id: r.licences for r in licenses.scan(docs(texts)).collect()}
+    assert len(pairs) >= 4 and [got[i] for i in range(len(pairs))] == [family for family, _ in pairs]
+    plain = [(1, "The general told the public\nthat the software works.\nAll rights and duties are\nthe same for every member.")]
+    assert [r.licences for r in licenses.scan(docs(plain)).collect()] == [""]
