@@ -207,6 +207,16 @@ def schema_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.alternatives(docs, ["g"], "lang", order="doc_id").select("g", F.size("alternatives").alias("n"), "folded")
 
 
+@query("""
+WITH g AS (SELECT source AS g, lang, min(doc_id) AS seen FROM documents WHERE lang IS NOT NULL GROUP BY ALL),
+f AS (SELECT g, count(*) AS n, string_agg(lang, ',' ORDER BY seen) AS v FROM g GROUP BY g)
+SELECT g, CAST(n AS INTEGER) AS n, CASE WHEN n = 1 THEN v ELSE 'anyOf(' || v || ')' END AS folded FROM f""")
+def schema_alternatives_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents of each source, in the order in which they came."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("g"), "lang", "doc_id")
+    return folds.alternatives(docs, ["g"], "lang", order="doc_id").select("g", F.size("alternatives").alias("n"), "folded")
+
+
 @query()
 def projected_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON Schema of each column of ``lineitem``."""
