@@ -134,6 +134,14 @@ def reachable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(edges, spark.createDataFrame([(2,)], "node long"), max_depth=2)
 
 
+@query()
+def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders (even) and parts (odd) that the first order reaches in any number of steps."""
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    edges = items.unionByName(items.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.reachable(edges, items.agg(F.min("src").alias("node")))
+
+
 @query("""
 SELECT doc_id, first_holder FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_holder FROM documents) WHERE doc_id > first_holder""")
 def duplicate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,6 +511,20 @@ def inheriting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.descendants(edges, parts.where("p_partkey < 6").select(F.col("p_partkey").alias("node")))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_partkey % 3 = 0 AS passes FROM part WHERE p_partkey > 1),
+walk(root, node, inherits) AS (
+  SELECT p_partkey, p_partkey, false FROM part
+  UNION SELECT root, src, inherits OR passes FROM walk JOIN e ON dst = node)
+SELECT DISTINCT root, node FROM walk WHERE inherits""")
+def inheriting_nodes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that lead to any part over at least one inheriting edge."""
+    parts = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "allOf").otherwise("ref")
+    edges = parts.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"), kind.alias("kind"))
+    return graph.descendants(edges, parts.select(F.col("p_partkey").alias("node")))
+
+
 @query("""
 WITH t AS (SELECT p_type AS name, CASE WHEN p_size > 45 THEN p_brand END AS parent FROM part)
 SELECT 'tag.duplicate' AS code, name FROM t GROUP BY name HAVING count(*) > 1
