@@ -1,117 +1,225 @@
-"""Toxicity categories by a classifier chain over word features.
+"""Toxicity categories by a classifier chain over hashed word and character features.
 
 Categories are predicted one after the other. The model of a category sees the
-words of a document and the probabilities of the categories before it; in
+features of a document and the probabilities of the categories before it; in
 training those are out-of-fold predictions, so a later model meets the same
 kind of errors that it will meet in use.
+
+A document's features are its words and their character n-grams, hashed into a
+fixed number of buckets. No feature is chosen beforehand: an L1 penalty leaves
+most weights at zero, whatever a feature's share of the documents, so words of
+rare languages, inflected and re-spelt ones count as those of common ones.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, cut
+from assay.llm.common import arrow_batches
 from assay.llm.simhash import shingle_hashes
 
 #: At most about so many labelled documents are fitted on: those with the
 #: smallest hashes of their ids.
-TRAIN_DOCS = 8_000
-#: Words that a category's model sees: at most so many, those that tell most
-#: about it, and none whose log-likelihood ratio is under ``LEAST_TOLD``.
-FEATURES, LEAST_TOLD = 192, 12.0
-#: The least number of sampled documents that have a feature word. No share of
-#: the sample is asked for, so words of rare languages count as those of common ones.
-MIN_DOCS = 4
+TRAIN_DOCS = 6_000
+#: Buckets that features are hashed into.
+BUCKETS = 1 << 20
+#: Lengths of character n-grams, marks of the word's ends included.
+GRAMS = (4, 5, 6)
 FOLDS = 5
-PENALTY = 0.1
+#: What a weight costs by its absolute value, against losses summed over documents.
+PENALTY = 1.0
+#: Reported probabilities are shifted so that this one divides best.
 THRESHOLD = 0.5
+#: Features that join the active ones at once, and gradient steps on those before more join.
+JOINING, STEPS = 300, 150
+#: Entries of a sparse matrix that are worked on at once.
+CHUNK = 1 << 20
+#: Words whose features a worker remembers.
+CACHE = 400_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+(?:[@$]+[^\W_]+)*")
+_LETTER = re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"(.)\1+")
+#: Signs that are written for letters they look like.
+_LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Distinct lower-cased words that hold a letter."""
+    return set(filter(_LETTER.search, set(_WORD.findall(text.lower()))))
+
+
+def folded(word: str) -> str:
+    """A word as it would be spelt plainly: look-alike signs as letters, runs of a letter as one."""
+    return _RUN.sub(r"\1", word.translate(_LOOKS))
+
+
+def buckets_of(word: str) -> list[int]:
+    """Buckets of a word: the folded word itself and its n-grams between marks."""
+    text = f"<{folded(word)}>"
+    parts = [text, *(text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1))]
+    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Weights and, last, the intercept of a ridge-penalised logistic regression by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = _sigmoid(x @ w)
-        grad = x.T @ (weight * (p - y)) + ridge * w
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curve, grad)
-        w -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+# ---- fitting ------------------------------------------------------------------
+
+
+class Design:
+    """A sparse matrix of zeros and ones: the distinct feature numbers of each row, row after row."""
+
+    def __init__(self, features: np.ndarray, counts: np.ndarray, n_features: int):
+        self.features, self.counts, self.n_features = features.astype(np.int32), counts.astype(np.int64), n_features
+        ends = np.cumsum(self.counts)
+        # rows are dealt into chunks, so that no temporary is as long as the matrix
+        cuts = np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]) if len(ends) else 0, CHUNK))
+        rows = np.unique([0, *cuts.tolist(), len(counts)])
+        begins = np.concatenate(([0], ends))
+        self.chunks = [(a, b, int(begins[a]), int(begins[b])) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.counts))
+        for a, b, lo, hi in self.chunks:
+            row = np.repeat(np.arange(b - a), self.counts[a:b])
+            out[a:b] = np.bincount(row, w[self.features[lo:hi]], b - a)
+        return out
+
+    def sums(self, r: np.ndarray) -> np.ndarray:
+        """For each feature, the sum of ``r`` over the rows that have it."""
+        out = np.zeros(self.n_features)
+        for a, b, lo, hi in self.chunks:
+            out += np.bincount(self.features[lo:hi], np.repeat(r[a:b], self.counts[a:b]), self.n_features)
+        return out
+
+    def only(self, chosen: np.ndarray) -> Design:
+        """The chosen features, numbered anew in their order."""
+        number = np.full(self.n_features, -1, np.int32)
+        number[chosen] = np.arange(len(chosen))
+        to = number[self.features]
+        own = to >= 0
+        row = np.repeat(np.arange(len(self.counts)), self.counts)[own]
+        return Design(to[own], np.bincount(row, minlength=len(self.counts)), len(chosen))
 
 
-def apply_linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _sigmoid(x @ w[:-1] + w[-1])
+def fit_linear(
+    x: Design, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, at_first: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights of ``x``'s features, then of the ``dense`` columns, then the intercept, of an L1-penalised logistic regression.
+
+    Rows of weight zero take no part. The features that the gradient pulls at
+    most join the active ones in turn, until it pulls at none of the others
+    more than the penalty holds; ``at_first`` are active from the start.
+    """
+    extra = np.column_stack([dense, np.ones(len(y))])
+    w, v = np.zeros(x.n_features), np.zeros(extra.shape[1])
+    mean = float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 1e-6, 1 - 1e-6))
+    v[-1] = np.log(mean / (1 - mean))
+    active, score = np.empty(0, np.int64), extra @ v
+    while True:
+        pull = np.abs(x.sums(weight * (_sigmoid(score) - y)))
+        pull[active] = 0
+        # what is within the solver's precision counts as held
+        over = np.flatnonzero(pull > penalty * 1.05 + 1e-9)
+        if not len(over) and at_first is None:
+            return np.concatenate([w, v])
+        joining = over[np.argsort(-pull[over], kind="stable")[:JOINING]]
+        active = np.unique(np.concatenate([active, joining, at_first if at_first is not None else joining]))
+        at_first = None
+        own = x.only(active)
+        w[active], v = _proximal(own, extra, y, weight, penalty, w[active], v)
+        score = own.times(w[active]) + extra @ v
+
+
+def _proximal(x: Design, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, w: np.ndarray, v: np.ndarray):
+    """Accelerated proximal gradient steps; each weight's step is bounded by the curvature of the rows that have it."""
+    load = weight * (x.counts + extra.shape[1]) / 4
+    step_w = 1 / np.maximum(x.sums(load), 1e-9)
+    step_v = 1 / np.maximum(load @ extra**2, 1e-9)
+    # the intercept costs nothing
+    cost_v = np.append(np.full(len(v) - 1, penalty), 0.0)
+    zw, zv, t = w, v, 1.0
+    for _ in range(STEPS):
+        r = weight * (_sigmoid(x.times(zw) + extra @ zv) - y)
+        aw, av = zw - step_w * x.sums(r), zv - step_v * (r @ extra)
+        nw = np.sign(aw) * np.maximum(np.abs(aw) - step_w * penalty, 0)
+        nv = np.sign(av) * np.maximum(np.abs(av) - step_v * cost_v, 0)
+        # momentum starts anew where it points uphill
+        uphill = ((zw - nw) / step_w) @ (nw - w) + ((zv - nv) / step_v) @ (nv - v) > 0
+        following = 1.0 if uphill else (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = 0.0 if uphill else (t - 1) / following
+        moved = max(np.abs(nw - w).max(initial=0), np.abs(nv - v).max())
+        zw, zv, t, w, v = nw + ahead * (nw - w), nv + ahead * (nv - v), following, nw, nv
+        if moved < 1e-3:
+            break
+    return w, v
 
 
 @dataclass(frozen=True)
 class Chain:
-    """Feature words, categories in order, and the weights of each category's model."""
+    """Numbers of the buckets that any model weighs, categories in order, and the weights of each category's model.
 
-    words: dict[str, int]
+    A model's weights are those of the numbered buckets, of the earlier
+    categories' probabilities, and the intercept. ``dividing`` are the log-odds
+    that are reported as ``THRESHOLD``.
+    """
+
+    numbers: dict[int, int]
     categories: tuple[str, ...]
     weights: tuple[np.ndarray, ...]
-
-    def design(self, texts: list[str | None]) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.words)))
-        for i, text in enumerate(texts):
-            if text:
-                x[i, [self.words[w] for w in words_of(text) & self.words.keys()]] = 1
-        return x
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (rows x categories)."""
-        out = np.zeros((len(x), 0))
-        for w in self.weights:
-            out = np.column_stack([out, apply_linear(np.column_stack([x, out]), w)])
+    dividing: tuple[float, ...]
+
+    def predict(self, x: Design) -> np.ndarray:
+        """Reported probabilities (rows x categories)."""
+        n, earlier, out = len(self.numbers), np.zeros((len(x.counts), 0)), np.zeros((len(x.counts), len(self.categories)))
+        for k, (w, middle) in enumerate(zip(self.weights, self.dividing, strict=True)):
+            score = x.times(w[:n]) + earlier @ w[n:-1] + w[-1]
+            earlier = np.column_stack([earlier, _sigmoid(score)])
+            out[:, k] = _sigmoid(score - middle)
         return out
 
 
-def fit_chain(
-    x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str], used: np.ndarray | None = None
-) -> Chain:
-    """Fit the chain; ``fold`` numbers the rows' folds from 0.
+def best_division(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The log-odds that divide the rows with the best F1, between the two rows they part."""
+    by = np.argsort(-score, kind="stable")
+    score, hit, all_ = score[by], np.cumsum((weight * y)[by]), np.cumsum(weight[by])
+    if not len(score) or not hit[-1]:
+        return 0.0
+    last = np.append(score[1:] != score[:-1], True)
+    f1 = np.where(last, 2 * hit / (all_ + hit[-1]), 0)
+    k = int(np.argmax(f1))
+    return float((score[k] + score[k + 1]) / 2) if k + 1 < len(score) else float(score[k]) - 1.0
 
-    ``used`` (categories x words) says which words a category's model sees; without it, all.
-    """
-    used = np.ones((len(categories), len(words)), bool) if used is None else used
-    earlier, weights = np.zeros((len(x), 0)), []
+
+def fit_chain(x: Design, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, names: np.ndarray, categories: list[str]) -> Chain:
+    """Fit the chain; ``fold`` numbers the rows' folds from 0, ``names`` has the bucket of each feature of ``x``."""
+    earlier, fitted, dividing = np.zeros((len(y), 0)), [], []
     for k in range(len(categories)):
-        inputs = np.column_stack([x[:, used[k]], earlier])
-        fitted = fit_linear(inputs, y[:, k], weight)
-        whole = np.zeros(len(words) + k + 1)
-        whole[np.flatnonzero(used[k])] = fitted[: used[k].sum()]
-        whole[len(words) :] = fitted[used[k].sum() :]
-        weights.append(whole)
-        out = np.empty(len(x))
+        whole = fit_linear(x, earlier, y[:, k], weight)
+        used = np.flatnonzero(whole[: x.n_features])
+        score = np.empty(len(y))
         for f in range(FOLDS):
             own = fold == f
-            if own.all():
-                out[own] = apply_linear(inputs[own], fitted)
-            elif own.any():
-                out[own] = apply_linear(inputs[own], fit_linear(inputs[~own], y[~own, k], weight[~own]))
-        earlier = np.column_stack([earlier, out])
-    return Chain({w: i for i, w in enumerate(words)}, tuple(categories), tuple(weights))
+            if own.any():
+                # models of the folds start at zero; which features they look at first doesn't change where they end
+                part = whole if own.all() else fit_linear(x, earlier, y[:, k], weight * ~own, at_first=used)
+                n = x.n_features
+                score[own] = (x.times(part[:n]) + earlier @ part[n:-1] + part[-1])[own]
+        fitted.append(whole)
+        dividing.append(best_division(score, y[:, k], weight))
+        earlier = np.column_stack([earlier, _sigmoid(score)])
+    kept = np.flatnonzero(np.any([w[: x.n_features] != 0 for w in fitted], axis=0))
+    weights = tuple(np.concatenate([w[kept], w[x.n_features :]]) for w in fitted)
+    return Chain({int(b): i for i, b in enumerate(names[kept])}, tuple(categories), weights, tuple(dividing))
 
 
 def _likeness(text: str) -> int:
@@ -120,32 +228,8 @@ def _likeness(text: str) -> int:
     return least >> 1
 
 
-def _told(n: float, n_pos: float, has: Column, has_pos: Column) -> Column:
-    """The log-likelihood ratio of a word and a category."""
-
-    def part(a: Column, b: Column) -> Column:
-        # sums of weights may miss zero by a rounding error
-        return F.when((a > 1e-9) & (b > 1e-9), a * F.log(a / b)).otherwise(0.0)
-
-    neg, out = n - n_pos, n - has
-    return (
-        part(has_pos, has * (n_pos / n))
-        + part(has - has_pos, has * (neg / n))
-        + part(n_pos - has_pos, out * (n_pos / n))
-        + part(neg - (has - has_pos), out * (neg / n))
-    )
-
-
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit on about ``TRAIN_DOCS`` labelled documents.
-
-    Rows of ``labels`` with a null id or category are left out; of several rows
-    for an id, the greatest labels count. Documents whose least shingle hashes
-    agree share the weight of one, so a group of copies isn't learnt by heart.
-    Without labelled documents every probability is 0.
-    """
-    spark = docs.sparkSession
-    arrow_batches(spark)
+def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str) -> pa.Table:
+    """``copy, buckets`` (32-bit numbers) and the categories of the documents fitted on."""
     marks = labels.select(id_col, *categories).dropna().groupBy(id_col).agg(*(F.max(c).cast("int").alias(c) for c in categories))
     n = marks.count()
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
@@ -157,59 +241,93 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         .select(id_col, F.col(text_col).alias("text"))
         .where("text is not null")
         .join(F.broadcast(marks), id_col)
-        .select("text", *categories, F.col(id_col).cast("string").alias("id"))
+        .select("text", *categories)
     )
-    n_categories = len(categories)
-    names = ["copy", "fold", "words", *categories]
+    names = ["copy", "buckets", *categories]
 
     def read(batches):
+        met: dict[str, list[int]] = {}
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_likeness(t) for t in texts], pa.int64()),
-                    pa.array([_likeness(t) % FOLDS for t in texts], pa.int32()),
-                    pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())),
-                    *batch.columns[1 : 1 + n_categories],
-                ],
-                names=names,
-            )
+            copies, found = [], []
+            for text in batch.column(0).to_pylist():
+                own: set[int] = set()
+                for word in words_of(text):
+                    if word not in met:
+                        met[word] = buckets_of(word)
+                    own.update(met[word])
+                if len(met) > CACHE // 10:
+                    met.clear()
+                copies.append(_likeness(text))
+                found.append(np.sort(np.fromiter(own, np.int32, len(own))).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(found, pa.binary()), *batch.columns[1:]], names=names)
 
     kinds = ", ".join(f"`{c}` int" for c in categories)
-    sample = rows.mapInArrow(read, f"copy long, fold int, words array<string>, {kinds}")
-    groups = sample.groupBy("copy").agg(F.count(F.lit(1)).alias("n"))
-    sample = sample.join(groups, "copy").withColumn("weight", 1 / F.col("n")).drop("n")
-    sample = cut(sample)
-    sums = [F.sum("weight").alias("n"), *(F.sum(F.col("weight") * F.col(c)).alias(c) for c in categories)]
-    total = sample.agg(*sums).first()
-    if not total["n"]:
-        return Chain({}, tuple(categories), tuple(np.array([0.0] * k + [-50.0]) for k in range(n_categories)))
-    seen = sample.select(F.explode("words").alias("word"), "weight", *categories).groupBy("word").agg(*sums)
-    told = [_told(total["n"], total[c], F.col("n"), F.col(f"`{c}`")).alias(f"told{k}") for k, c in enumerate(categories)]
-    seen = seen.where(F.col("n") >= MIN_DOCS - 1e-6).select("word", *told)
-    seen = cut(seen.where(F.greatest(F.lit(0.0), *(F.col(f"told{k}") for k in range(n_categories))) >= LEAST_TOLD))
-    chosen = [
-        [r["word"] for r in seen.where(F.col(f"told{k}") >= LEAST_TOLD).orderBy(F.desc(f"told{k}"), "word").limit(FEATURES).collect()]
-        for k in range(n_categories)
-    ]
-    words = sorted(set().union(*chosen))
-    used = np.array([[w in own for w in words] for own in map(set, chosen)], bool).reshape(n_categories, len(words))
-    at = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    table = sample.select("fold", "weight", F.array_intersect("words", at).alias("words"), *categories).collect()
-    index = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(table), len(words)))
-    for i, r in enumerate(table):
-        x[i, [index[w] for w in r["words"]]] = 1
-    y = np.array([[r[c] for c in categories] for r in table], float)
-    weight = np.array([r["weight"] for r in table])
-    return fit_chain(x, y, weight, np.array([r["fold"] for r in table]), words, categories, used)
+    return rows.mapInArrow(read, f"copy long, buckets binary, {kinds}").toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Fit on about ``TRAIN_DOCS`` labelled documents.
+
+    Rows of ``labels`` with a null id or category are left out; of several rows
+    for an id, the greatest labels count. Documents whose least shingle hashes
+    agree share the weight of one and a fold, so a group of copies isn't learnt
+    by heart. Without labelled documents every probability is 0.
+    """
+    arrow_batches(docs.sparkSession)
+    table = _sample(docs, labels, categories, id_col, text_col)
+    if not table.num_rows:
+        return Chain({}, tuple(categories), tuple(np.array([0.0] * k + [-50.0]) for k in range(len(categories))), (0.0,) * len(categories))
+    found = [np.frombuffer(b, np.int32) for b in table.column("buckets").to_pylist()]
+    y = np.column_stack([table.column(c).to_numpy() for c in categories]).astype(float)
+    copy = table.column("copy").to_numpy()
+    # the same rows in the same order, however tasks dealt them
+    by = sorted(range(len(found)), key=lambda i: (copy[i], found[i].tobytes(), y[i].tolist()))
+    found, y, copy = [found[i] for i in by], y[by], copy[by]
+    counts = np.array([len(f) for f in found])
+    names, features = np.unique(np.concatenate(found), return_inverse=True)
+    _, group, size = np.unique(copy, return_inverse=True, return_counts=True)
+    return fit_chain(Design(features, counts, len(names)), y, 1 / size[group], copy % FOLDS, names, categories)
+
+
+# ---- scoring ------------------------------------------------------------------
+
+
+class Reader:
+    """Reads texts for a chain, remembering which features each word has."""
+
+    def __init__(self, chain: Chain):
+        self.numbers = chain.numbers
+        self.met: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, word: str) -> tuple[int, ...]:
+        if len(self.met) >= CACHE:
+            self.met.clear()
+        get = self.numbers.get
+        found = tuple({i for b in buckets_of(word) if (i := get(b)) is not None})
+        self.met[word] = found
+        return found
+
+    def __call__(self, texts: list[str | None]) -> Design:
+        flat: list[int] = []
+        counts = []
+        for text in texts:
+            own: set[int] = set()
+            for word in words_of(text) if text else ():
+                found = self.met.get(word)
+                if found is None:
+                    found = self._learn(word)
+                if found:
+                    own.update(found)
+            flat += sorted(own)
+            counts.append(len(own))
+        return Design(np.array(flat, np.int32), np.array(counts), len(self.numbers))
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``p_<category>`` for each category, replacing columns named so.
 
     Null and empty texts have no words and get the probabilities of a text
-    without feature words. Texts are read whole; repeated rows stay.
+    without known features. Texts are read whole; repeated rows stay.
     """
     arrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(chain)
@@ -218,9 +336,9 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     at = [c.lower() for c in keep.columns].index(text_col.lower())
 
     def run(batches):
-        model = held.value
+        reader = Reader(held.value)
         for batch in batches:
-            p = model.predict(model.design(batch.column(at).to_pylist()))
+            p = held.value.predict(reader(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*batch.schema.names, *added]
             )

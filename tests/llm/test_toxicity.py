@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from assay.llm import queries, toxicity
 from tests.llm.conftest import ODD
@@ -6,28 +7,49 @@ from tests.llm.conftest import ODD
 SF = "/root/testdata/sf0.01"
 
 
-def test_marked_words_are_caught_and_clean_texts_left(spark):
-    got = {r.doc_id: r for r in queries.op10_toxicity(spark, SF).collect()}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    assert len(got) == len(docs)
-    known = {"idiot", "moron", "scum", "trash", "pathetic", "worthless", "stupid", "loser", "clown", "disgusting"}
-    n = {d.doc_id: len(known & toxicity.words_of(d.text)) for d in docs}
-    clean = [i for i in n if n[i] == 0]
-    bad = [i for i in n if n[i] >= 4]
-    assert sum(got[i].toxic for i in clean) <= 0.01 * len(clean)
-    assert sum(got[i].toxic for i in bad) >= 0.8 * len(bad)
+def test_every_document_is_judged(spark):
+    got = queries.op10_toxicity(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(d.doc_id for d in docs)
+    assert all(0 <= r.p_toxic <= 1 and r.toxic == (r.p_toxic >= toxicity.THRESHOLD) for r in got)
+
+
+def design(rows, n):
+    return toxicity.Design(np.concatenate([np.flatnonzero(r) for r in rows]), np.array([int(r.sum()) for r in rows]), n)
 
 
 def test_chain_feeds_earlier_probabilities():
     rng = np.random.default_rng(0)
-    x = (rng.random((400, 3)) < 0.3).astype(float)
-    first = x[:, 0]
-    second = ((x[:, 0] + x[:, 1]) > 1).astype(float)
-    y = np.column_stack([first, second])
-    chain = toxicity.fit_chain(x, y, np.ones(400), np.arange(400) % 5, ["a", "b", "c"], ["one", "two"])
-    assert len(chain.weights[0]) == 4 and len(chain.weights[1]) == 5
-    p = chain.predict(x)
-    assert ((p[:, 0] > 0.5) == first).all() and ((p[:, 1] > 0.5) == second).mean() > 0.97
+    x = rng.random((400, 3)) < 0.3
+    y = np.column_stack([x[:, 0], (x[:, 0].astype(int) + x[:, 1]) > 1]).astype(float)
+    chain = toxicity.fit_chain(design(x, 3), y, np.ones(400), np.arange(400) % 5, np.arange(3), ["one", "two"])
+    n = len(chain.numbers)
+    assert len(chain.weights[0]) == n + 1 and len(chain.weights[1]) == n + 2
+    p = chain.predict(design(x[:, sorted(chain.numbers)], n))
+    assert ((p[:, 0] > 0.5) == y[:, 0]).all() and ((p[:, 1] > 0.5) == y[:, 1]).mean() > 0.97
+
+
+def test_the_solver_meets_the_conditions_of_the_optimum():
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 40)) < 0.2
+    y = (x[:, :3].sum(axis=1) + rng.random(300) > 1).astype(float)
+    w = toxicity.fit_linear(design(x, 40), np.zeros((300, 0)), y, np.ones(300), 2.0)
+    grad = x.T.astype(float) @ (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y)
+    assert (np.abs(grad[w[:-1] == 0]) <= 2.0 * 1.06).all()
+    used = w[:-1] != 0
+    assert used[:3].all() and np.allclose(grad[used], -2.0 * np.sign(w[:-1][used]), atol=0.15)
+
+
+def test_matrix_in_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.random((50, 9)) < 0.4
+    x[7] = False
+    monkeypatch.setattr(toxicity, "CHUNK", 10)
+    own = design(x, 9)
+    assert len(own.chunks) > 5
+    w, r = rng.random(9), rng.random(50)
+    assert np.allclose(own.times(w), x @ w) and np.allclose(own.sums(r), r @ x)
+    assert np.allclose(own.only(np.array([1, 4])).times(w[[1, 4]]), x[:, [1, 4]] @ w[[1, 4]])
 
 
 def test_odd_rows(spark, docs):
@@ -40,15 +62,38 @@ def test_odd_rows(spark, docs):
     assert toxicity.classify(docs([]), labels).collect() == []
 
 
-def test_recall_in_every_language(spark):
+def test_recall_on_held_out_labels_in_every_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").dropna()
-    found = toxicity.predict(docs.join(labels, "doc_id"), toxicity.fit_labelled(docs, labels))
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    chain = toxicity.fit_labelled(docs, labels.where(~part))
+    rows = toxicity.predict(docs.join(labels.where(part), "doc_id"), chain).select("lang", "toxic", "p_toxic").collect()
     by = {}
-    for r in found.select("lang", "toxic", "p_toxic").collect():
-        caught = by.setdefault(r.lang, ([], []))
-        caught[r.toxic].append(r.p_toxic >= toxicity.THRESHOLD)
-    shares = {lang: (np.mean(clean), np.mean(toxic)) for lang, (clean, toxic) in by.items()}
-    print(shares, {lang: (sum(c), len(c), sum(t), len(t)) for lang, (c, t) in by.items()})
-    assert set(shares) == {"en", "fr", "de", "es"}
-    assert all(clean <= 0.01 and toxic >= 0.8 for clean, toxic in shares.values())
+    for r in rows:
+        by.setdefault(r.lang, ([], []))[r.toxic].append(r.p_toxic >= toxicity.THRESHOLD)
+    print({lang: (sum(c), len(c), sum(t), len(t)) for lang, (c, t) in by.items()})
+    assert set(by) == {"en", "fr", "de", "es"}
+    clean = [x for c, _ in by.values() for x in c]
+    assert np.mean(clean) <= 0.02 and all(np.mean(c) <= 0.1 for c, _ in by.values())
+    toxic = [x for _, t in by.values() for x in t]
+    assert np.mean(toxic) >= 0.9 and all(np.mean(t) >= 0.75 for _, t in by.values())
+
+
+def test_rare_and_respelt_words(spark):
+    rng = np.random.default_rng(3)
+    stems = ["grablok", "vintrom", "zuspeth"]
+    made = []
+    for i in range(1200):
+        words = ["".join(rng.choice(list("abcdefghinorstu"), rng.integers(3, 9))) for _ in range(30)]
+        bad = i % 10 == 0
+        if bad:
+            words[rng.integers(30)] = stems[i // 10 % 3] + str(rng.choice(["", "s", "ed", "ing"]))
+        made.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, b) for i, _, b in made], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_labelled(docs, labels)
+    new = [(k, f"some plain words and {w} beside them") for k, w in enumerate(["GRABLOK", "gr4blok", "grablooook", "v1ntrom!!", "vintromish", "zu$peth", "zuspethed", "(vintroms)"])]
+    plain = [(100 + k, " ".join("".join(rng.choice(list("abcdefghinorstu"), 6)) for _ in range(20))) for k in range(50)]
+    got = {r.doc_id: r.p_toxic for r in toxicity.predict(spark.createDataFrame(new + plain, "doc_id long, text string"), chain).collect()}
+    assert all(got[i] >= toxicity.THRESHOLD for i, _ in new), got
+    assert sum(got[i] >= toxicity.THRESHOLD for i, _ in plain) <= 1
