@@ -93,8 +93,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # texts that may hold a token which is found before words are split are the library's alone
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.met: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -112,10 +114,11 @@ class WordTokenizer:
         return raw
 
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        lower = text.lower()
+        if not _PLAIN.fullmatch(text) or self.added and self.added.search(lower):
             return self._encode(text)
         get = self.met.get
-        return b"".join([get(w) or self._add(w) for w in _SPLIT.findall(text.lower())])
+        return b"".join([get(w) or self._add(w) for w in _SPLIT.findall(lower)])
 
 
 @lru_cache(maxsize=2)
@@ -158,12 +161,13 @@ def best_fit(items: DataFrame, length_col: str = "length", capacity: int = CAPAC
     ``items`` has lengths from 1 to ``capacity``; others fail the task. Rows
     are dealt by all their columns, so no document or length owns a task;
     within a task they come in the order of those columns. Equal rows are
-    packed once each. No items give no rows.
+    packed once each. No items give no rows. Columns of any name are kept apart
+    from what packing adds; those named ``sequence_id`` or ``offset`` are replaced.
     """
-    spark = items.sparkSession
-    names = items.columns
-    at = names.index(length_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    items = items.drop("sequence_id", "offset")
+    names = [f"`{c}`" for c in items.columns]
+    kind = items.schema.simpleString()
+    made = ["item", "bin", "place", "fill"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -172,26 +176,22 @@ def best_fit(items: DataFrame, length_col: str = "length", capacity: int = CAPAC
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             got = []
-            for n in batch.column(at).to_pylist():
+            for n in batch.column(1).to_pylist():
                 if n is None or not 0 < n <= capacity:
                     raise ValueError(f"a piece has {n} tokens; 1 to {capacity} can be packed")
                 got.append(packer.place(n))
             bins = pa.array([base + g[0] for g in got], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, bins, pa.array([g[1] for g in got], pa.int64()), pa.nulls(len(got), pa.int64())],
-                names=[*names, "bin", "place", "fill"],
-            )
+            places = pa.array([g[1] for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), bins, places, pa.nulls(len(got), pa.int64())], names=made)
         rest = packer.still_open()
         if rest:
-            empty = [pa.nulls(len(rest), t) for t in batch.schema.types]
             bins = pa.array([base + b for b, _ in rest], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*empty, bins, pa.nulls(len(rest), pa.int64()), pa.array([f for _, f in rest], pa.int64())],
-                names=[*names, "bin", "place", "fill"],
-            )
+            none, fills = pa.nulls(len(rest), batch.schema.types[0]), pa.array([f for _, f in rest], pa.int64())
+            yield pa.RecordBatch.from_arrays([none, bins, pa.nulls(len(rest), pa.int64()), fills], names=made)
 
     dealt = items.repartition(*names).sortWithinPartitions(*names)
-    packed = cut(dealt.mapInArrow(run, f"{kinds}, bin long, place long, fill long"))
+    dealt = dealt.select(F.struct(*names).alias("item"), F.col(f"`{length_col}`").cast("long").alias("length"))
+    packed = cut(dealt.mapInArrow(run, f"item {kind}, bin long, place long, fill long"))
     rest = packed.where("fill is not null").select("bin", "fill")
     groups = max(1, -(-rest.count() // ROUND_TWO_ROWS))
 
@@ -212,7 +212,7 @@ def best_fit(items: DataFrame, length_col: str = "length", capacity: int = CAPAC
         packed.where("fill is null")
         .join(moved, "bin", "left")
         .select(
-            *names,
+            "item.*",
             F.coalesce("to", "bin").alias("sequence_id"),
             (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"),
         )

@@ -1,7 +1,10 @@
 import pytest
 
 #: Columns that clash with names that operators make themselves.
-EXTRA = "lang string, source string, id long, row string, fp long, score double, range int"
+EXTRA = (
+    "lang string, source string, id long, row string, fp long, score double, range int, "
+    "bin int, place int, item int, gone_id int, gone int, key int, paragraph int, found_id int, n int"
+)
 
 
 @pytest.fixture
@@ -9,7 +12,7 @@ def docs(spark):
     """Documents with clashing extra columns from (doc_id, text) pairs."""
 
     def make(pairs):
-        rows = [(i, t, "xx", "s", 7, "r", 1, 0.5, 2) for i, t in pairs]
+        rows = [(i, t, "xx", "s", 7, "r", 1, 0.5, 2, *range(9)) for i, t in pairs]
         return spark.createDataFrame(rows, f"doc_id long, text string, {EXTRA}")
 
     return make

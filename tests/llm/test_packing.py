@@ -36,10 +36,57 @@ def test_best_fit_takes_the_fullest_bin_that_fits():
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_ids_are_the_tokenizers(text):
+    assert packing.word_tokenizer(WORD_VOCABULARY)(text) == library(text)
+
+
+def library(text):
     own = Tokenizer.from_file(public_tokenizers.path(WORD_VOCABULARY))
-    own.encode_special_tokens = True
-    want = np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert packing.word_tokenizer(WORD_VOCABULARY)(text) == want
+    return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+#: The characters of the tokenizer's own fast path.
+LATIN = [chr(i) for i in (*range(9, 14), *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x180))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(LATIN), max_size=80))
+def test_ids_of_latin_texts_are_the_tokenizers(text):
+    assert packing._PLAIN.fullmatch(text) or "\xad" in text
+    assert packing.word_tokenizer(WORD_VOCABULARY)(text) == library(text)
+
+
+def test_special_tokens_are_those_of_the_library():
+    for text in ("a <|endoftext|> b", "<|startoftext|>", "A <|EndOfText|> B", "x<|endoftext|", "it's we'll 'SAYS'", "é <|endoftext|>"):
+        assert packing.word_tokenizer(WORD_VOCABULARY)(text) == library(text)
+
+
+@given(st.lists(st.integers(1, 20), max_size=60), st.integers(1, 5))
+def test_packer_is_best_fit_by_brute_force(lengths, most):
+    packer, open_bins, made = packing.Packer(20, most), {}, 0
+    for n in lengths:
+        number, at = packer.place(n)
+        free = [f for f in open_bins.values() if f >= n]
+        if free:
+            assert open_bins[number] == min(free) and at == 20 - min(free)
+            left = open_bins.pop(number) - n
+        else:
+            assert (number, at) == (made, 0)
+            made, left = made + 1, 20 - n
+        if left:
+            if len(open_bins) == most:
+                # the fullest closes; which of equally full ones is the packer's choice
+                fullest = min(open_bins.values())
+                still = {b for b, _ in packer.still_open()}
+                closed = [b for b in open_bins if b not in still]
+                assert len(closed) == 1 and open_bins[closed[0]] == fullest
+                del open_bins[closed[0]]
+            open_bins[number] = left
+
+
+def test_few_sequences_are_needed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, WORD_VOCABULARY).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in got}) <= 1.02 * sum(r.length for r in got) / packing.CAPACITY + 2
 
 
 def test_odd_rows_are_packed_whole(docs):
