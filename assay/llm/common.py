@@ -3,8 +3,10 @@ connected components over distributed edges."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +23,16 @@ def arrow_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's checkpoint folder, which all executors share.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a session without
-    one (a local test) gets a temporary folder.
+    The folder is the one in ``spark.checkpoint.dir``. Only a local session
+    without one (a test) gets a temporary folder; on a cluster it is an error,
+    as executors can't read each other's disks.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -48,6 +52,17 @@ def texts_as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id long, text, row``: unique ids, the text, and all columns in one struct, so that no name clashes.
+
+    Ids are the given ones unless some are null or repeated; then rows get numbers of their own.
+    """
+    own = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")]
+    rows = docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    n, known, apart = rows.agg(F.count(F.lit(1)), F.count("id"), F.countDistinct("id")).first()
+    return rows if n == known == apart else cut(rows.withColumn("id", F.monotonically_increasing_id()))
+
+
 def _fingerprint(df: DataFrame) -> tuple:
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -67,10 +82,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _fingerprint(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are written before they meet their rows: an aggregate under a join keeps Spark from splitting it
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)

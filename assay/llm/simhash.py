@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, components, cut, texts_as_bytes
+from assay.llm.common import arrow_batches, components, cut, identified, texts_as_bytes
 
 BUDGET = 4
 #: Differences allowed in the leading half of either bit order.
@@ -358,8 +358,9 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = cut(named)
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(names, "root").select("fp", "component_id")
+    # written before the join, so that Spark may split a root with many nodes
+    names = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = cut(named.join(names, "root").select("fp", "component_id"))
     return rows.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -371,11 +372,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     It is the one with the smallest id. Where ids are null or repeated, rows
     are told apart by numbers of their own and any one row stays.
     """
-    n, known, apart = docs.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
-    if n == known == apart:
-        found = near_duplicates(docs, id_col, text_col, width, budget)
-        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-        return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    number = "row_number_of_near_duplicates"
-    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()))
-    return keep_one(rows, number, text_col, width, budget).drop(number)
+    rows = identified(docs, id_col, text_col)
+    found = near_duplicates(rows, "id", "text", width, budget)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -60,7 +60,7 @@ def test_no_rows(docs):
 
 def test_one_of_each_group_stays(docs):
     kept = simhash.keep_one(docs([(1, "a b c d e"), (2, "a b c d e"), (3, "q r s t u v")])).collect()
-    assert sorted(r.doc_id for r in kept) == [1, 3] and len(kept[0]) == 9
+    assert sorted(r.doc_id for r in kept) == [1, 3] and kept[0].__fields__ == docs([]).columns
     odd = simhash.keep_one(docs(ODD)).collect()
     fps = [brute_fingerprint(r.text) for r in odd]
     assert len(fps) == len(set(fps)) == len({brute_fingerprint(t) for _, t in ODD})
