@@ -14,15 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, components, cut, texts_as_bytes
+from assay.llm.common import arrow_batches, components, cut, identified, texts_as_bytes
 from assay.llm.simhash import SEED, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 #: All pairs of a band's bucket are compared if it has at most so many rows.
-#: Larger ones are first compared with one row each, in so many rounds, which
-#: takes large groups of near copies away in linear time.
-SMALL, ROUNDS = 16, 4
+#: Those of larger ones are first compared with one row each, in so many rounds,
+#: which takes large groups of near copies away in linear time.
+SMALL, ROUNDS = 8, 6
 #: Shingles hashed at once.
 CHUNK = 4096
 
@@ -65,59 +65,73 @@ def _banded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, key long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            found = [shingle_set(t).view(np.int64) for t in texts_as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets are similar enough.
+
+    Texts meet in pairs once each as ``b``, with the shingles of ``a`` beside them.
+    """
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t).tobytes() for t in texts_as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
+    def compare(batches):
+        for batch in batches:
+            out, met = [], {}
+            for b, text, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = np.frombuffer(text, np.uint64)
+                for other in others:
+                    a = other["a"]
+                    if a not in met:
+                        met[a] = np.frombuffer(other["shingles"], np.uint64)
+                    both = len(np.intersect1d(own, met[a], assume_unique=True))
+                    if both >= LEAST * (len(own) + len(met[a]) - both) - 1e-9:
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_sets(docs.join(ids, "id", "left_semi")))
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    met = met.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.where(both >= LEAST * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+    known = cut(docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary"))
+    met = pairs.join(known.select(F.col("id").alias("a"), "shingles"), "a")
+    met = met.join(known.select(F.col("id").alias("b"), F.col("shingles").alias("own")), "b")
+    return met.select("b", "own", F.array(F.struct("a", "shingles")).alias("others")).mapInArrow(compare, "a long, b long")
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of texts linked by similarities of ``LEAST`` or more one stays.
+    """The rows of ``docs`` without near copies: no two texts that stay have a similarity of ``LEAST`` or more.
 
-    It is the one with the smallest id. Null and empty texts have no shingles
-    and stay; a text of fewer words than ``WIDTH`` is one shingle. Where ids are
-    null or repeated, rows are told apart by numbers of their own.
+    A text that goes is joined by a chain of such similarities to one with a
+    smaller id that stays. Null and empty texts have no shingles and stay; a
+    text of fewer words than ``WIDTH`` is one shingle. Where ids are null or
+    repeated, rows are told apart by numbers of their own. Other columns may
+    have any name.
     """
-    n, known, apart = docs.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
-    if not n == known == apart:
-        number = "row_number_of_similar"
-        rows = cut(docs.withColumn(number, F.monotonically_increasing_id()))
-        return keep_dissimilar(rows, number, text_col).drop(number)
     arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    whole = identified(docs, id_col, text_col)
+    texts = whole.select("id", "text")
     rows, gone = cut(_banded(texts)), None
     for turn in range(ROUNDS + 1):
         few = SMALL if turn < ROUNDS else 1 << 60
         # another row of a large bucket is the centre in each round
-        buckets = rows.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre")
-        )
-        shared = cut(rows.join(buckets.where("n > 1"), "key"))
-        small = shared.where(F.col("n") <= few).select("key", "id")
-        pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
-        star = shared.where((F.col("n") > few) & (F.col("id") != F.col("centre")))
+        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre"))
+        # written before the join, so that Spark may split a bucket with many rows
+        shared = cut(rows.join(cut(buckets.where("n > 1")), "key"))
+        small = shared.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        # a bucket's pairs come from its own few ids; equal lists of several bands give them once
+        small = small.select("ids").distinct().select(F.posexplode("ids").alias("at", "a"), "ids")
+        pairs = small.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b")).where("a < b")
+        large = shared.where(F.col("n") > few)
+        # one comparison a row and round: with the centre of its largest bucket
+        star = large.groupBy("id").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")).where("id <> centre")
         star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-        pairs = cut(pairs.select("a", "b").unionByName(star).distinct())
+        pairs = cut(pairs.unionByName(star).distinct())
         if pairs.isEmpty():
             break
-        found = components(_links(texts, pairs)).where("node <> root").select(F.col("node").alias("gone_id"))
-        gone = cut(found if gone is None else gone.unionByName(found))
+        found = components(_links(texts, pairs)).where("node <> root").select(F.col("node").alias("gone"))
+        gone = cut(found if gone is None else gone.unionByName(found).distinct())
         # only what was in a large bucket has pairs that weren't compared
-        rows = shared.where(F.col("n") > few).join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("id", "key")
-        rows = cut(rows)
+        rows = cut(large.join(gone, F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
         if rows.isEmpty():
             break
-    return docs if gone is None else docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    kept = whole if gone is None else whole.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return kept.select("row.*")
