@@ -74,19 +74,18 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest node of the component; every node that has an edge
     to another node gets a row, self-loops and null ends are ignored. Large-star
     and small-star steps alternate until nothing changes, so a star with a
-    third of all nodes is only ever reduced by pre-aggregated minima and joins
-    that Spark may split. Each round is cut at a checkpoint.
+    third of all nodes is only ever reduced by pre-aggregated minima. Each round
+    is cut at a checkpoint.
     """
     swap = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(edges.where("a <> b").select(swap.alias("e")).select("e.a", "e.b").distinct())
     before = _fingerprint(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # minima are written before they meet their rows: an aggregate under a join keeps Spark from splitting it
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)

@@ -14,15 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, components, cut, identified, texts_as_bytes
+from assay.llm.common import arrow_batches, cut, identified, texts_as_bytes
 from assay.llm.simhash import SEED, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 #: All pairs of a band's bucket are compared if it has at most so many rows.
-#: Those of larger ones are first compared with one row each, in so many rounds,
-#: which takes large groups of near copies away in linear time.
-SMALL, ROUNDS = 8, 6
+#: Rows of larger ones are first compared with so many rows each, in so many rounds,
+#: which takes large groups of near copies away in linear time; what is left is compared in pairs.
+SMALL, CENTRES, ROUNDS = 8, 3, 3
 #: Shingles hashed at once.
 CHUNK = 4096
 
@@ -100,8 +100,8 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: no two texts that stay have a similarity of ``LEAST`` or more.
 
-    A text that goes is joined by a chain of such similarities to one with a
-    smaller id that stays. Null and empty texts have no shingles and stay; a
+    A text that goes is joined by a chain of such similarities to one that
+    stays; which of two goes is drawn by a hash of their ids. Null and empty texts have no shingles and stay; a
     text of fewer words than ``WIDTH`` is one shingle. Where ids are null or
     repeated, rows are told apart by numbers of their own. Other columns may
     have any name.
@@ -111,26 +111,28 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = whole.select("id", "text")
     rows, gone = cut(_banded(texts)), None
     for turn in range(ROUNDS + 1):
-        few = SMALL if turn < ROUNDS else 1 << 60
-        # another row of a large bucket is the centre in each round
-        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre"))
+        few, draw = SMALL if turn < ROUNDS else 1 << 60, F.xxhash64("id", F.lit(turn))
+        # other rows of a large bucket are the centres in each round
+        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(draw, "id")).alias("centre"))
         # written before the join, so that Spark may split a bucket with many rows
         shared = cut(rows.join(cut(buckets.where("n > 1")), "key"))
-        small = shared.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        small = shared.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(draw, "id")))["id"].alias("ids"))
         # a bucket's pairs come from its own few ids; equal lists of several bands give them once
         small = small.select("ids").distinct().select(F.posexplode("ids").alias("at", "a"), "ids")
-        pairs = small.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b")).where("a < b")
+        pairs = small.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
         large = shared.where(F.col("n") > few)
-        # one comparison a row and round: with the centre of its largest bucket
-        star = large.groupBy("id").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")).where("id <> centre")
-        star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        # a row is compared with the centres of its largest buckets
+        centres = F.sort_array(F.collect_set(F.struct("n", "centre")), asc=False)["centre"]
+        star = large.groupBy("id").agg(F.slice(F.array_distinct(centres), 1, CENTRES).alias("centres"))
+        star = star.select(F.explode("centres").alias("a"), F.col("id").alias("b")).where("a <> b")
         pairs = cut(pairs.unionByName(star).distinct())
         if pairs.isEmpty():
             break
-        found = components(_links(texts, pairs)).where("node <> root").select(F.col("node").alias("gone"))
-        gone = cut(found if gone is None else gone.unionByName(found).distinct())
+        # of two the one drawn later goes, so some text of each chain is left to be compared with others
+        found = cut(_links(texts, pairs).select(F.col("b").alias("gone")).distinct())
+        gone = found if gone is None else gone.unionByName(found)
         # only what was in a large bucket has pairs that weren't compared
-        rows = cut(large.join(gone, F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
+        rows = cut(large.join(found, F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
         if rows.isEmpty():
             break
     kept = whole if gone is None else whole.join(gone, F.col("id") == F.col("gone"), "left_anti")
