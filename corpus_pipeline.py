@@ -20,13 +20,22 @@ def _whole(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; texts without letters go."""
+    """Documents in a language that the model knows; null texts and texts without letters go.
+
+    The model is fitted on a bounded sample of the stage's own input. Repeated
+    rows and rows with a null id stay as often as they come; no rows give none.
+    """
     found = langid.predict(_apart(docs), langid.fit(docs))
     return _whole(found.where(F.col("lang_pred") != langid.UNKNOWN), docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain doesn't call toxic."""
+    """Documents that the chain doesn't call toxic.
+
+    The chain is fitted on a bounded sample of the stage's own input with
+    labels. Empty texts are judged as texts without known words; repeated rows
+    and rows with a null id stay as often as they come; no rows give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = toxicity.predict(_apart(docs), toxicity.fit_labelled(docs, labels))
     return _whole(found.where(F.col("p_toxic") < toxicity.THRESHOLD), docs.columns)
@@ -40,14 +49,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates.
 
-    Close fingerprints take most copies away; of what they leave, one text stays
-    of those linked by five-word shingles of similarity 0.8 or more.
+    Close fingerprints take most copies away; of what they leave, no two texts
+    stay whose five-word shingles have a similarity of 0.8 or more. Null and
+    empty texts are copies of each other. Where ids are null or repeated, rows
+    are told apart by numbers of their own; no rows give none.
     """
     return similar.keep_dissimilar(stored(near_dedup(spark, docs, sf_dir))).select(*docs.columns)
 
 
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 100 bytes that came earlier, and their new lengths."""
+    """Texts without strings of 100 bytes that came earlier, and their new lengths.
+
+    All rows stay; of equal rows all but one lose their text, if it has 100
+    bytes. Null text becomes empty; no rows give none.
+    """
     left = suffix.deduplicate(docs)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
