@@ -1,12 +1,13 @@
 """Fixed points over edges: reachability, chains, hierarchies and proofs.
 
-Each loop advances all keys at once by joins. Every ``EVERY`` rounds the rows
-are cut at a checkpoint, in the folder that the session names, so plans stay
-short and a lost executor costs little.
+Each loop advances all keys at once by joins. Edges are written once, before
+the first round; each round's new rows are cut at a checkpoint, in the folder
+that the session names, so plans stay short and a lost executor costs little.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,17 @@ from assay.functions.text import pointer_ancestors
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the session's checkpoint folder; a session without one gets a temporary one."""
+    """Materialise in the folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Only a local session without one (a test) gets a temporary folder; on a
+    cluster it is an error, as executors can't read each other's disks.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -30,7 +38,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     depth bound, which is optional.
     """
     seen = cut(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -38,7 +46,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
         new = cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        seen, frontier = cut(seen.unionByName(new)), new
+        # rounds are written once each; what was seen is their union
+        seen, frontier = seen.unionByName(new), new
     return seen
 
 
@@ -49,7 +58,7 @@ def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     node and whether an ``allOf`` edge has been passed.
     """
     state = cut(seeds.select(F.col("node").alias("root"), "node").distinct().withColumn("inherits", F.lit(False)))
-    back = edges.select("src", "dst", (F.col("kind") == "allOf").alias("passes")).distinct()
+    back = cut(edges.select("src", "dst", (F.col("kind") == "allOf").alias("passes")).distinct())
     frontier = state
     while True:
         ahead = frontier.join(back, F.col("node") == F.col("dst")).select(
@@ -58,7 +67,7 @@ def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         new = cut(ahead.distinct().join(state, ["root", "node", "inherits"], "left_anti"))
         if new.isEmpty():
             break
-        state, frontier = cut(state.unionByName(new)), new
+        state, frontier = state.unionByName(new), new
     return state.where("inherits").select("root", "node").distinct()
 
 
@@ -69,17 +78,19 @@ def chain_ends(links: DataFrame) -> DataFrame:
     A node that runs into a cycle has a null end. Of several targets of a node
     the least counts.
     """
-    first = links.dropna().groupBy("node").agg(F.min("target").alias("target"))
+    first = cut(links.dropna().groupBy("node").agg(F.min("target").alias("target")))
     n = first.count()
-    now = cut(first.select("node", F.col("target").alias("end"), F.lit(1).cast("long").alias("hops")))
+    now = first.select("node", F.col("target").alias("end"), F.lit(1).cast("long").alias("hops"))
     rounds = max(1, n).bit_length() + 1
     for _ in range(rounds):
         ahead = now.select(F.col("node").alias("end"), F.col("end").alias("next_end"), F.col("hops").alias("more"))
-        now = cut(
-            now.join(ahead, "end", "left").select(
-                "node", F.coalesce("next_end", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
-            )
+        met = now.join(ahead, "end", "left").select(
+            "node", F.coalesce("next_end", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), "next_end"
         )
+        met = cut(met)
+        now = met.drop("next_end")
+        if met.where("next_end is not null").isEmpty():
+            break  # all stand at their ends
     # after 2 ** rounds > n hops, whoever still stands on a node with a target is on a cycle
     inside = first.select(F.col("node").alias("end"), F.lit(True).alias("cyclic"))
     out = now.join(inside, "end", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
@@ -126,14 +137,14 @@ def proven(facts: DataFrame, rules: DataFrame) -> DataFrame:
     a node are alternatives.
     """
     known = cut(facts.select("node").distinct())
-    rules = rules.select("node", "proof", "needs").distinct()
+    rules = cut(rules.select("node", "proof", "needs").distinct())
     while True:
         held = rules.join(known.select(F.col("node").alias("needs"), F.lit(True).alias("held")), "needs", "left")
         met = held.groupBy("node", "proof").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("all_held"))
         new = cut(met.where("all_held").select("node").distinct().join(known, "node", "left_anti"))
         if new.isEmpty():
             return known
-        known = cut(known.unionByName(new))
+        known = known.unionByName(new)
 
 
 def pruned(components: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 from assay.functions import grammar, text
 from assay.operators import graph
@@ -95,7 +95,7 @@ KEYWORDS = {
 _mailbox = grammar.column(grammar.mailbox, BooleanType())
 _uri = grammar.column(grammar.uri_reference, BooleanType())
 _iri = grammar.column(grammar.non_relative_iri, BooleanType())
-_server = grammar.column(grammar.server_template, StringType())
+_server = grammar.server_template
 
 
 def _lits(words: str | list[str]) -> Column:

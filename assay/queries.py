@@ -125,18 +125,16 @@ def enum_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE edges AS (
   SELECT DISTINCT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem
   UNION SELECT DISTINCT l_partkey * 2 + 1, l_orderkey * 2 FROM lineitem),
-walk(node, depth) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 2)
-SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+walk(node) AS (SELECT min(src) FROM edges WHERE src % 2 = 0 UNION SELECT dst FROM walk JOIN edges ON src = node)
+SELECT node FROM walk""")
 def reachable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders (even) and parts (odd) within two steps of order 1."""
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    edges = items.unionByName(items.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.reachable(edges, spark.createDataFrame([(2,)], "node long"), max_depth=2)
+    """Orders (even) and parts (odd) that the first order reaches in any number of steps."""
+    return reachable_closure(spark, sf_dir).select("node")
 
 
 @query()
 def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders (even) and parts (odd) that the first order reaches in any number of steps."""
+    """Orders (even) and parts (odd) that the first order reaches, with the fewest steps."""
     items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
     edges = items.unionByName(items.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.reachable(edges, items.agg(F.min("src").alias("node")))
@@ -205,21 +203,11 @@ def all_paths_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.required_by_all(table(spark, sf_dir, "events"), ["user_id"], F.col("value") > 1)
 
 
-@query("""
-WITH g AS (SELECT doc_id % 50 AS g, lang, min(doc_id) AS seen FROM documents WHERE doc_id < 150 GROUP BY ALL),
-f AS (SELECT g, count(*) AS n, string_agg(lang, ',' ORDER BY seen) AS v FROM g GROUP BY g)
-SELECT g, CAST(n AS INTEGER) AS n, CASE WHEN n = 1 THEN v ELSE 'anyOf(' || v || ')' END AS folded FROM f""")
-def schema_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages that share a group of documents, in the order in which they came."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 150").select((F.col("doc_id") % 50).alias("g"), "lang", "doc_id")
-    return folds.alternatives(docs, ["g"], "lang", order="doc_id").select("g", F.size("alternatives").alias("n"), "folded")
-
-
 @query("""
 WITH g AS (SELECT source AS g, lang, min(doc_id) AS seen FROM documents WHERE lang IS NOT NULL GROUP BY ALL),
 f AS (SELECT g, count(*) AS n, string_agg(lang, ',' ORDER BY seen) AS v FROM g GROUP BY g)
 SELECT g, CAST(n AS INTEGER) AS n, CASE WHEN n = 1 THEN v ELSE 'anyOf(' || v || ')' END AS folded FROM f""")
-def schema_alternatives_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents of each source, in the order in which they came."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("g"), "lang", "doc_id")
     return folds.alternatives(docs, ["g"], "lang", order="doc_id").select("g", F.size("alternatives").alias("n"), "folded")
@@ -232,13 +220,15 @@ def projected_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS event_no, text AS data, role AS event,
-  CAST(turn AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS retry, false AS over FROM conversations WHERE NOT contains(text, chr(13))""")
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS event_no,
+  replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS data, role AS event,
+  CAST(turn AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS retry, false AS over FROM conversations""")
 def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as event streams, and read again."""
-    turns = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\r"))
+    """Conversations written as event streams, line ends of all three kinds among them, and read again."""
+    turns = table(spark, sf_dir, "conversations")
     turn = F.col("turn").cast("string")
-    lines = F.concat(F.lit("data: "), F.replace("text", F.lit("\n"), F.lit("\ndata: ")))
+    # a text's own line ends are kept as they are
+    lines = F.concat(F.lit("data: "), F.regexp_replace("text", "(\r\n|\r|\n)", "$1data: "))
     frame = F.concat(
         F.lit(": note\nevent: "), F.col("role"), F.lit("\nid: "), turn, F.lit("\nretry: 00"), turn, F.lit("\n"), lines, F.lit("\n\n")
     )
@@ -497,27 +487,13 @@ def method_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("user_id", "GET", "POST", "PUT", names.alias("additional"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_partkey % 3 = 0 AS passes FROM part WHERE p_partkey > 1),
-walk(root, node, inherits) AS (
-  SELECT p_partkey, p_partkey, false FROM part WHERE p_partkey < 6
-  UNION SELECT root, src, inherits OR passes FROM walk JOIN e ON dst = node)
-SELECT DISTINCT root, node FROM walk WHERE inherits""")
-def inheriting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that lead to the first five parts over at least one inheriting edge."""
-    parts = table(spark, sf_dir, "part")
-    kind = F.when(F.col("p_partkey") % 3 == 0, "allOf").otherwise("ref")
-    edges = parts.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"), kind.alias("kind"))
-    return graph.descendants(edges, parts.where("p_partkey < 6").select(F.col("p_partkey").alias("node")))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_partkey % 3 = 0 AS passes FROM part WHERE p_partkey > 1),
 walk(root, node, inherits) AS (
   SELECT p_partkey, p_partkey, false FROM part
   UNION SELECT root, src, inherits OR passes FROM walk JOIN e ON dst = node)
 SELECT DISTINCT root, node FROM walk WHERE inherits""")
-def inheriting_nodes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inheriting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that lead to any part over at least one inheriting edge."""
     parts = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_partkey") % 3 == 0, "allOf").otherwise("ref")

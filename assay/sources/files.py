@@ -29,10 +29,11 @@ def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
 def resources(manifest: DataFrame, files: DataFrame, max_bytes: int = MAX_BYTES, max_count: int = MAX_RESOURCES) -> DataFrame:
     """Manifest entries with contents; entries past the shared byte or count budget have a code and no content.
 
-    The entries of a manifest are few by their budget, so they are summed in one window.
+    The entries of a manifest are summed in one window by name and length alone;
+    contents meet the entries afterwards and never stand in one task.
     """
-    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).drop("code")
-    met = manifest.join(named, "file", "left")
+    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    met = manifest.join(named.select("file", "path", "length"), "file", "left")
     order = Window.partitionBy(F.lit(0)).orderBy("uri").rowsBetween(Window.unboundedPreceding, 0)
     used, ordinal = F.sum(F.coalesce("length", F.lit(0))).over(order), F.count(F.lit(1)).over(order)
     code = (
@@ -40,8 +41,9 @@ def resources(manifest: DataFrame, files: DataFrame, max_bytes: int = MAX_BYTES,
         .when(F.col("path").isNull(), "input.file")
         .when((used > max_bytes) | (ordinal > max_count), "cli.budget")
     )
-    out = met.select("uri", "file", "kind", "content", used.alias("used"), code.alias("code"))
-    return out.withColumn("content", F.when(F.col("code").isNull(), F.col("content")))
+    judged = met.select("uri", "file", "kind", "path", used.alias("used"), code.alias("code"))
+    out = judged.join(named.select("path", "content"), "path", "left")
+    return out.select("uri", "file", "kind", F.when(F.col("code").isNull(), F.col("content")).alias("content"), "used", "code")
 
 
 def bundles(df: DataFrame, json_col: str, keep: list[str], fields: list[str], max_bytes: int = 16 << 20) -> DataFrame:

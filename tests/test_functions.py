@@ -107,10 +107,16 @@ def test_uris():
     assert grammar.resource_uri("HTTP://Host/A#b") == "http://host/A"
 
 
-def test_server_templates():
-    assert grammar.server_template("https://{h}/a%20{b}") is None
-    assert [grammar.server_template(x) for x in ("", "a?b", "%2", "a b")] == ["url"] * 4
-    assert [grammar.server_template(x) for x in ("{", "}", "{}", "{a}{a}", "{a{b}")] == ["template"] * 5
+def test_server_templates(spark):
+    want = {
+        None: ["https://{h}/a%20{b}", None, "{a}", "/é\ue000\U00010000", "x" * 20_000, "[::1]:{port}/~a"],
+        "url": ["", "a?b", "%2", "a b", "a\x7f", "{a} {", "a\ufffe", "%zz{a}"],
+        "template": ["{", "}", "{}", "{a}{a}", "{a{b}", "a{b", "{a}{a} ", "x}y z"],
+    }
+    rows = [(t, fault) for fault, texts in want.items() for t in texts]
+    df = spark.createDataFrame(rows, "t string, want string")
+    got = df.select("t", "want", grammar.server_template(F.col("t")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got if r.got != r.want] == []
 
 
 @given(st.decimals(allow_nan=False, allow_infinity=False, places=3), st.decimals(allow_nan=False, allow_infinity=False, places=3))

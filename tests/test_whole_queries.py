@@ -9,7 +9,7 @@ def test_alternatives_of_all_documents(spark):
     want = defaultdict(dict)
     for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect(), key=lambda r: r.doc_id):
         want[r.source].setdefault(r.lang)
-    got = {r.g: (r.n, r.folded) for r in queries.schema_alternatives_by_source(spark, SF).collect()}
+    got = {r.g: (r.n, r.folded) for r in queries.schema_alternatives(spark, SF).collect()}
     assert got == {g: (len(v), next(iter(v)) if len(v) == 1 else f"anyOf({','.join(v)})") for g, v in want.items()}
 
 
@@ -25,6 +25,7 @@ def test_closure_goes_on_to_its_end(spark):
         now, depth = {y for x in now for y in ahead[x]} - seen.keys(), depth + 1
     assert max(seen.values()) > 2
     assert {r.node: r.depth for r in queries.reachable_closure(spark, SF).collect()} == seen
+    assert {r.node for r in queries.reachable_components(spark, SF).collect()} == seen.keys()
 
 
 def test_all_roots_have_their_inheriting_nodes(spark):
@@ -35,5 +36,5 @@ def test_all_roots_have_their_inheriting_nodes(spark):
             inherits, node = inherits or node % 3 == 0, node // 2
             if inherits:
                 want.add((node, r.p_partkey))
-    got = [tuple(r) for r in queries.inheriting_nodes_of_all(spark, SF).select("root", "node").collect()]
+    got = [tuple(r) for r in queries.inheriting_nodes(spark, SF).select("root", "node").collect()]
     assert len({root for root, _ in want}) > 5 and sorted(got) == sorted(want)
