@@ -22,8 +22,6 @@ from assay.llm.common import arrow_batches
 #: At about this many documents of each language the model is fitted; they are
 #: those with the smallest hashes of their ids.
 TRAIN_DOCS = 300
-#: The most frequent (language, word) pairs of the sample that reach the driver.
-TRAIN_WORDS = 60_000
 #: A word is known if the sample holds it this often.
 MIN_COUNT = 3
 NGRAM = 5
@@ -125,10 +123,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .mapInArrow(count, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang", "word")
-        .limit(TRAIN_WORDS)
     )
-    return fit_counts([tuple(r) for r in counts.collect()])
+    # all words of the sample, whose bound is that of its documents; in one order, so that sums are the same
+    return fit_counts(sorted(tuple(r) for r in counts.collect()))
 
 
 class Scorer:
