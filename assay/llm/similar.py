@@ -8,10 +8,12 @@ missed more rarely.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import arrow_batches, cut, identified, texts_as_bytes
@@ -21,7 +23,7 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 #: All pairs of a band's bucket are compared if it has at most so many rows.
 #: Rows of larger ones are first compared with so many rows each, in so many rounds,
-#: which takes large groups of near copies away in linear time; what is left is compared in pairs.
+#: which takes large groups of near copies away in linear time; what is left is joined by rare shingles.
 SMALL, CENTRES, ROUNDS = 8, 3, 3
 #: Shingles hashed at once.
 CHUNK = 4096
@@ -97,11 +99,48 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("b", "own", F.array(F.struct("a", "shingles")).alias("others")).mapInArrow(compare, "a long, b long")
 
 
+def _rare_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``docs(id, text)``, among them all whose similarity is ``LEAST`` or more.
+
+    Shingles are ordered by the number of texts that have them, rarest first. A
+    similar pair's first common shingle stands early in both texts: the longer
+    text may have ``1 - LEAST`` of its shingles before it, the shorter one half
+    of that, about. Texts that only share frequent passages never meet.
+    """
+
+    def shingles(batches):
+        for batch in batches:
+            for id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
+                own = shingle_set(text).view(np.int64)
+                for at in range(0, len(own), CHUNK):
+                    part = own[at : at + CHUNK]
+                    columns = [np.full(len(part), id, np.int64), part, np.full(len(part), len(own), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "shingle", "n"])
+
+    rows = cut(docs.mapInArrow(shingles, "id long, shingle long, n long"))
+    # written before the join, so that Spark may split a shingle with many texts
+    counts = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")))
+    order = Window.partitionBy("id").orderBy("texts", "shingle")
+    ranked = rows.join(counts, "shingle").withColumn("at", F.row_number().over(order))
+    common = LEAST / (1 + LEAST)
+    long = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9) + 1)
+    # a shingle of one text joins nothing
+    long = cut(long.where("texts > 1").select("id", "shingle", "n", "at"))
+    short = long.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * common - 1e-9) + 1)
+    x, y = short.alias("x"), long.alias("y")
+    met = x.join(y, F.expr("x.shingle = y.shingle AND (x.n < y.n OR x.n = y.n AND x.id < y.id)"))
+    # no more than what follows in both can be common
+    most = 1 + F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at"))
+    return met.where(most >= common * (F.col("x.n") + F.col("y.n")) - 1e-9).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")
+    ).distinct()
+
+
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: no two texts that stay have a similarity of ``LEAST`` or more.
 
     A text that goes is joined by a chain of such similarities to one that
-    stays; which of two goes is drawn by a hash of their ids. Null and empty texts have no shingles and stay; a
+    stays; which of two goes is drawn by a hash of their ids, at last by the ids. Null and empty texts have no shingles and stay; a
     text of fewer words than ``WIDTH`` is one shingle. Where ids are null or
     repeated, rows are told apart by numbers of their own. Other columns may
     have any name.
@@ -109,18 +148,18 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arrow_batches(docs.sparkSession)
     whole = identified(docs, id_col, text_col)
     texts = whole.select("id", "text")
-    rows, gone = cut(_banded(texts)), None
-    for turn in range(ROUNDS + 1):
-        few, draw = SMALL if turn < ROUNDS else 1 << 60, F.xxhash64("id", F.lit(turn))
+    rows, gone = cut(_banded(texts)), []
+    for turn in range(ROUNDS):
+        draw = F.xxhash64("id", F.lit(turn))
         # other rows of a large bucket are the centres in each round
         buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(draw, "id")).alias("centre"))
         # written before the join, so that Spark may split a bucket with many rows
         shared = cut(rows.join(cut(buckets.where("n > 1")), "key"))
-        small = shared.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(draw, "id")))["id"].alias("ids"))
+        small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(draw, "id")))["id"].alias("ids"))
         # a bucket's pairs come from its own few ids; equal lists of several bands give them once
         small = small.select("ids").distinct().select(F.posexplode("ids").alias("at", "a"), "ids")
         pairs = small.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
-        large = shared.where(F.col("n") > few)
+        large = shared.where(F.col("n") > SMALL)
         # a row is compared with the centres of its largest buckets
         centres = F.sort_array(F.collect_set(F.struct("n", "centre")), asc=False)["centre"]
         star = large.groupBy("id").agg(F.slice(F.array_distinct(centres), 1, CENTRES).alias("centres"))
@@ -129,11 +168,15 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if pairs.isEmpty():
             break
         # of two the one drawn later goes, so some text of each chain is left to be compared with others
-        found = cut(_links(texts, pairs).select(F.col("b").alias("gone")).distinct())
-        gone = found if gone is None else gone.unionByName(found)
+        gone.append(cut(_links(texts, pairs).select(F.col("b").alias("gone")).distinct()))
         # only what was in a large bucket has pairs that weren't compared
-        rows = cut(large.join(found, F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
+        rows = cut(large.join(gone[-1], F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
         if rows.isEmpty():
             break
+    else:
+        rest = texts.join(rows.select("id").distinct(), "id", "left_semi")
+        pairs = cut(_rare_pairs(rest))
+        gone.append(cut(_links(texts, pairs).select(F.greatest("a", "b").alias("gone")).distinct()))
+    gone = reduce(DataFrame.unionByName, gone) if gone else None
     kept = whole if gone is None else whole.join(gone, F.col("id") == F.col("gone"), "left_anti")
     return kept.select("row.*")

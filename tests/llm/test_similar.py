@@ -48,6 +48,28 @@ def test_large_buckets(spark, docs, monkeypatch):
     assert kept and not [(a, b) for a, b in combinations(kept, 2) if similarity(text[a], text[b]) >= 0.8]
 
 
+def test_rare_shingles_lose_no_similar_pair(spark, docs):
+    rng = np.random.default_rng(9)
+    pairs = near_copies(6, 6)
+    shared = [f"p{i}" for i in range(100)]
+    for own in (2, 10, 20, 30, 60):  # one frequent passage with more and more words of their own
+        for _ in range(8):
+            pairs.append((len(pairs), " ".join(shared + [f"q{i}" for i in rng.integers(0, 10**9, own)])))
+    text = dict(pairs)
+    far = {(a, b) for a, b in combinations(text, 2) if similarity(text[a], text[b]) >= similar.LEAST}
+    rows = docs(pairs).selectExpr("doc_id AS id", "text")
+    met = {tuple(sorted((r.a, r.b))) for r in similar._rare_pairs(rows).collect()}
+    assert far <= met and len(met) < 1.5 * len(far)
+    assert similar._rare_pairs(docs([]).selectExpr("doc_id AS id", "text")).collect() == []
+
+
+def test_large_buckets_of_dissimilar_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(similar, "SMALL", 2)
+    shared = " ".join(f"p{i}" for i in range(100))
+    pairs = [(k, shared + "".join(f" own{k}x{i}" for i in range(40))) for k in range(30)]
+    assert len(similar.keep_dissimilar(docs(pairs)).collect()) == len(pairs)
+
+
 def test_odd_rows(docs):
     got = [str(r.doc_id) for r in similar.keep_dissimilar(docs(ODD)).collect()]
     assert {"2", "3", "4"} <= set(got) and len(got) == len(ODD) - 2
