@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: An Arrow batch holds whole texts, so its size is bounded in bytes, not in rows.
 BATCH_BYTES = 4 << 20
+#: Ids are broadcast up to this number, some 16 MB.
+BROADCAST_IDS = 1 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -46,6 +48,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (a materialised column of longs), to be broadcast if there are at most ``BROADCAST_IDS`` of them.
+
+    More of them meet the other side in a shuffle.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def texts_as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

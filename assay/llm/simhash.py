@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, components, cut, identified, texts_as_bytes
+from assay.llm.common import arrow_batches, components, cut, identified, small, texts_as_bytes
 
 BUDGET = 4
 #: Differences allowed in the leading half of either bit order.
@@ -374,5 +374,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     rows = identified(docs, id_col, text_col)
     found = near_duplicates(rows, "id", "text", width, budget)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+    return rows.join(small(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")

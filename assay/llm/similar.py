@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, cut, identified, texts_as_bytes
+from assay.llm.common import arrow_batches, cut, identified, small, texts_as_bytes
 from assay.llm.simhash import SEED, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
@@ -67,17 +67,20 @@ def _banded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, key long")
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar enough.
+def _sets(docs: DataFrame) -> DataFrame:
+    """``(id, shingles)``: the sorted hashes of each text's shingles as bytes."""
 
-    Texts meet in pairs once each as ``b``, with the shingles of ``a`` beside them.
-    """
-
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             found = [shingle_set(t).tobytes() for t in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
+    return docs.mapInArrow(run, "id long, shingles binary")
+
+
+def _links(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets in ``known`` are similar enough."""
+
     def compare(batches):
         for batch in batches:
             out, met = [], {}
@@ -92,15 +95,13 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = cut(docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary"))
     met = pairs.join(known.select(F.col("id").alias("a"), "shingles"), "a")
     met = met.join(known.select(F.col("id").alias("b"), F.col("shingles").alias("own")), "b")
     return met.select("b", "own", F.array(F.struct("a", "shingles")).alias("others")).mapInArrow(compare, "a long, b long")
 
 
-def _rare_pairs(docs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``docs(id, text)``, among them all whose similarity is ``LEAST`` or more.
+def _rare_pairs(known: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``known(id, shingles)``, among them all whose similarity is ``LEAST`` or more.
 
     Shingles are ordered by the number of texts that have them, rarest first. A
     similar pair's first common shingle stands early in both texts: the longer
@@ -110,14 +111,14 @@ def _rare_pairs(docs: DataFrame) -> DataFrame:
 
     def shingles(batches):
         for batch in batches:
-            for id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
-                own = shingle_set(text).view(np.int64)
+            for id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(own, np.int64)
                 for at in range(0, len(own), CHUNK):
                     part = own[at : at + CHUNK]
                     columns = [np.full(len(part), id, np.int64), part, np.full(len(part), len(own), np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "shingle", "n"])
 
-    rows = cut(docs.mapInArrow(shingles, "id long, shingle long, n long"))
+    rows = cut(known.mapInArrow(shingles, "id long, shingle long, n long"))
     # written before the join, so that Spark may split a shingle with many texts
     counts = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")))
     order = Window.partitionBy("id").orderBy("texts", "shingle")
@@ -140,25 +141,29 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` without near copies: no two texts that stay have a similarity of ``LEAST`` or more.
 
     A text that goes is joined by a chain of such similarities to one that
-    stays; which of two goes is drawn by a hash of their ids, at last by the ids. Null and empty texts have no shingles and stay; a
-    text of fewer words than ``WIDTH`` is one shingle. Where ids are null or
-    repeated, rows are told apart by numbers of their own. Other columns may
-    have any name.
+    stays; which of two goes is drawn by a hash of their ids, at last by the
+    ids. Null and empty texts have no shingles and stay; a text of fewer words
+    than ``WIDTH`` is one shingle. Where ids are null or repeated, rows are told
+    apart by numbers of their own. Other columns may have any name.
     """
     arrow_batches(docs.sparkSession)
     whole = identified(docs, id_col, text_col)
     texts = whole.select("id", "text")
-    rows, gone = cut(_banded(texts)), []
+    rows, gone, known = cut(_banded(texts)), [], None
     for turn in range(ROUNDS):
         draw = F.xxhash64("id", F.lit(turn))
         # other rows of a large bucket are the centres in each round
         buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(draw, "id")).alias("centre"))
         # written before the join, so that Spark may split a bucket with many rows
         shared = cut(rows.join(cut(buckets.where("n > 1")), "key"))
-        small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(draw, "id")))["id"].alias("ids"))
+        if known is None:
+            # what later rounds compare is among these rows, so texts are read no more
+            ids = small(cut(shared.select("id").distinct()))
+            known = cut(_sets(texts.join(ids, "id", "left_semi")))
+        few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(draw, "id")))["id"].alias("ids"))
         # a bucket's pairs come from its own few ids; equal lists of several bands give them once
-        small = small.select("ids").distinct().select(F.posexplode("ids").alias("at", "a"), "ids")
-        pairs = small.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
+        few = few.select("ids").distinct().select(F.posexplode("ids").alias("at", "a"), "ids")
+        pairs = few.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
         large = shared.where(F.col("n") > SMALL)
         # a row is compared with the centres of its largest buckets
         centres = F.sort_array(F.collect_set(F.struct("n", "centre")), asc=False)["centre"]
@@ -168,15 +173,15 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if pairs.isEmpty():
             break
         # of two the one drawn later goes, so some text of each chain is left to be compared with others
-        gone.append(cut(_links(texts, pairs).select(F.col("b").alias("gone")).distinct()))
+        gone.append(cut(_links(known, pairs).select(F.col("b").alias("gone")).distinct()))
         # only what was in a large bucket has pairs that weren't compared
         rows = cut(large.join(gone[-1], F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
         if rows.isEmpty():
             break
     else:
-        rest = texts.join(rows.select("id").distinct(), "id", "left_semi")
-        pairs = cut(_rare_pairs(rest))
-        gone.append(cut(_links(texts, pairs).select(F.greatest("a", "b").alias("gone")).distinct()))
-    gone = reduce(DataFrame.unionByName, gone) if gone else None
+        rest = small(cut(rows.select("id").distinct()))
+        pairs = cut(_rare_pairs(known.join(rest, "id", "left_semi")))
+        gone.append(cut(_links(known, pairs).select(F.greatest("a", "b").alias("gone")).distinct()))
+    gone = small(cut(reduce(DataFrame.unionByName, gone).distinct())) if gone else None
     kept = whole if gone is None else whole.join(gone, F.col("id") == F.col("gone"), "left_anti")
     return kept.select("row.*")

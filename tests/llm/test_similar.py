@@ -57,10 +57,10 @@ def test_rare_shingles_lose_no_similar_pair(spark, docs):
             pairs.append((len(pairs), " ".join(shared + [f"q{i}" for i in rng.integers(0, 10**9, own)])))
     text = dict(pairs)
     far = {(a, b) for a, b in combinations(text, 2) if similarity(text[a], text[b]) >= similar.LEAST}
-    rows = docs(pairs).selectExpr("doc_id AS id", "text")
+    rows = similar._sets(docs(pairs).selectExpr("doc_id AS id", "text"))
     met = {tuple(sorted((r.a, r.b))) for r in similar._rare_pairs(rows).collect()}
     assert far <= met and len(met) < 1.5 * len(far)
-    assert similar._rare_pairs(docs([]).selectExpr("doc_id AS id", "text")).collect() == []
+    assert similar._rare_pairs(rows.where("id < 0")).collect() == []
 
 
 def test_large_buckets_of_dissimilar_texts(spark, docs, monkeypatch):
