@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Ids are broadcast up to this number, some 16 MB.
 BROADCAST_IDS = 1 << 20
+#: Edges are joined in one task up to this number, also some 16 MB.
+LOCAL_EDGES = 1 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -39,13 +42,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to a new folder beside the checkpoints, and read again."""
+    """``df`` written as Parquet to a new folder beside the checkpoints, and read again.
+
+    Unlike a checkpoint, empty partitions leave no file and small files are read
+    together, so a small table stays cheap however many partitions made it.
+    """
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         cut(df.sparkSession.range(0))
     path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -78,30 +94,67 @@ def _fingerprint(df: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a[i] and b[i]; every leaf ends up pointing at its root."""
+    while True:
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        ra, rb = ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent[:] = up
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of a bounded number of edges, by one task."""
+
+    def run(batches):
+        ends = [[x.to_numpy(zero_copy_only=False) for x in batch.columns] for batch in batches]
+        if ends:
+            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            parent = np.arange(len(nodes))
+            union(parent, at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[parent])], names=["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, root)``.
 
     ``root`` is the smallest node of the component; every node that has an edge
     to another node gets a row, self-loops and null ends are ignored. Large-star
     and small-star steps alternate until nothing changes, so a star with a
     third of all nodes is only ever reduced by pre-aggregated minima. Each round
-    is cut at a checkpoint.
+    is written, and the one before it deleted. Once at most ``local_edges`` are
+    left, one task joins them; the result is the same.
     """
+    spark = edges.sparkSession
     swap = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = cut(edges.where("a <> b").select(swap.alias("e")).select("e.a", "e.b").distinct())
+    now, path = _stored(edges.where("a <> b").select(swap.alias("e")).select("e.a", "e.b").distinct())
     before = _fingerprint(now)
-    while before[0]:
+    while before[0] > local_edges:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
+        large, between = _stored(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        old, (now, path) = path, _stored(small)
+        _delete(spark, old)
+        _delete(spark, between)
         after = _fingerprint(now)
         if after == before:
             break
         before = after
+    else:
+        return _joined(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

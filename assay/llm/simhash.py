@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, components, cut, identified, small, texts_as_bytes
+from assay.llm.common import arrow_batches, components, identified, small, stored, texts_as_bytes, union
 
 BUDGET = 4
 #: Differences allowed in the leading half of either bit order.
@@ -143,22 +143,6 @@ class _Trie:
         return self.levels[depth]
 
 
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the sets of a[i] and b[i]; every leaf ends up pointing at its root."""
-    while True:
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        if not apart.any():
-            return
-        ra, rb = ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent[:] = up
-
-
 def _walk(trie: _Trie, parent: np.ndarray, lead: int, total: int, split: tuple[int, int] | None) -> None:
     """Traverse node pairs together and link the leaves within the budget.
 
@@ -193,7 +177,7 @@ def _walk(trie: _Trie, parent: np.ndarray, lead: int, total: int, split: tuple[i
                 bits = keys[a] ^ keys[b]
                 near = (np.bitwise_count(bits) <= total) & (np.bitwise_count(bits >> np.uint64(32)) <= lead) & (a != b)
                 if near.any():
-                    _union(parent, a[near], b[near])
+                    union(parent, a[near], b[near])
                     uniform.clear()
                 u, v, diff = u[~single], v[~single], diff[~single]
         if not len(u) or depth == 64:
@@ -351,15 +335,15 @@ def near_duplicates(
     """
     if not 0 <= budget <= BUDGET:
         raise ValueError(f"budget must be between 0 and {BUDGET}")
-    rows = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = stored(fingerprints(docs, id_col, text_col, width))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = components(fingerprint_links(nodes.select("fp"), budget))
     named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    named = cut(named)
+    named = stored(named)
     # written before the join, so that Spark may split a root with many nodes
-    names = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    names = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of = named.join(names, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -374,5 +358,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     rows = identified(docs, id_col, text_col)
     found = near_duplicates(rows, "id", "text", width, budget)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
     return rows.join(small(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import arrow_batches, cut, identified, small, texts_as_bytes
+from assay.llm.common import arrow_batches, identified, small, stored, texts_as_bytes
 from assay.llm.simhash import SEED, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
@@ -118,15 +118,15 @@ def _rare_pairs(known: DataFrame) -> DataFrame:
                     columns = [np.full(len(part), id, np.int64), part, np.full(len(part), len(own), np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "shingle", "n"])
 
-    rows = cut(known.mapInArrow(shingles, "id long, shingle long, n long"))
+    rows = stored(known.mapInArrow(shingles, "id long, shingle long, n long"))
     # written before the join, so that Spark may split a shingle with many texts
-    counts = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")))
+    counts = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")))
     order = Window.partitionBy("id").orderBy("texts", "shingle")
     ranked = rows.join(counts, "shingle").withColumn("at", F.row_number().over(order))
     common = LEAST / (1 + LEAST)
     long = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9) + 1)
     # a shingle of one text joins nothing
-    long = cut(long.where("texts > 1").select("id", "shingle", "n", "at"))
+    long = stored(long.where("texts > 1").select("id", "shingle", "n", "at"))
     short = long.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * common - 1e-9) + 1)
     x, y = short.alias("x"), long.alias("y")
     met = x.join(y, F.expr("x.shingle = y.shingle AND (x.n < y.n OR x.n = y.n AND x.id < y.id)"))
@@ -149,17 +149,17 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arrow_batches(docs.sparkSession)
     whole = identified(docs, id_col, text_col)
     texts = whole.select("id", "text")
-    rows, gone, known = cut(_banded(texts)), [], None
+    rows, gone, known = stored(_banded(texts)), [], None
     for turn in range(ROUNDS):
         draw = F.xxhash64("id", F.lit(turn))
         # other rows of a large bucket are the centres in each round
         buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(draw, "id")).alias("centre"))
         # written before the join, so that Spark may split a bucket with many rows
-        shared = cut(rows.join(cut(buckets.where("n > 1")), "key"))
+        shared = stored(rows.join(stored(buckets.where("n > 1")), "key"))
         if known is None:
             # what later rounds compare is among these rows, so texts are read no more
-            ids = small(cut(shared.select("id").distinct()))
-            known = cut(_sets(texts.join(ids, "id", "left_semi")))
+            ids = small(stored(shared.select("id").distinct()))
+            known = stored(_sets(texts.join(ids, "id", "left_semi")))
         few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(draw, "id")))["id"].alias("ids"))
         # a bucket's pairs come from its own few ids; equal lists of several bands give them once
         few = few.select("ids").distinct().select(F.posexplode("ids").alias("at", "a"), "ids")
@@ -169,19 +169,19 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         centres = F.sort_array(F.collect_set(F.struct("n", "centre")), asc=False)["centre"]
         star = large.groupBy("id").agg(F.slice(F.array_distinct(centres), 1, CENTRES).alias("centres"))
         star = star.select(F.explode("centres").alias("a"), F.col("id").alias("b")).where("a <> b")
-        pairs = cut(pairs.unionByName(star).distinct())
+        pairs = stored(pairs.unionByName(star).distinct())
         if pairs.isEmpty():
             break
         # of two the one drawn later goes, so some text of each chain is left to be compared with others
-        gone.append(cut(_links(known, pairs).select(F.col("b").alias("gone")).distinct()))
+        gone.append(stored(_links(known, pairs).select(F.col("b").alias("gone")).distinct()))
         # only what was in a large bucket has pairs that weren't compared
-        rows = cut(large.join(gone[-1], F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
+        rows = stored(large.join(gone[-1], F.col("id") == F.col("gone"), "left_anti").select("id", "key"))
         if rows.isEmpty():
             break
     else:
-        rest = small(cut(rows.select("id").distinct()))
-        pairs = cut(_rare_pairs(known.join(rest, "id", "left_semi")))
-        gone.append(cut(_links(known, pairs).select(F.greatest("a", "b").alias("gone")).distinct()))
-    gone = small(cut(reduce(DataFrame.unionByName, gone).distinct())) if gone else None
+        rest = small(stored(rows.select("id").distinct()))
+        pairs = stored(_rare_pairs(known.join(rest, "id", "left_semi")))
+        gone.append(stored(_links(known, pairs).select(F.greatest("a", "b").alias("gone")).distinct()))
+    gone = small(stored(reduce(DataFrame.unionByName, gone).distinct())) if gone else None
     kept = whole if gone is None else whole.join(gone, F.col("id") == F.col("gone"), "left_anti")
     return kept.select("row.*")

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 
 from assay.llm import simhash
-from assay.llm.common import components
+from assay.llm.common import LOCAL_EDGES, components, union
 from tests.llm.conftest import ODD
 
 
@@ -83,15 +83,22 @@ def test_cells_cover_all_pairs(order):
         for depth, prefix in (u, v):
             own |= (keys >> np.uint64(64 - depth)) == np.uint64(prefix)
         root = simhash.links_of(fps[own], order, simhash._split_of(u, v))
-        simhash._union(got, np.flatnonzero(own), np.array([at[int(r)] for r in root]))
+        union(got, np.flatnonzero(own), np.array([at[int(r)] for r in root]))
     bits = keys[:, None] ^ keys[None]
     near = (np.bitwise_count(bits) <= 4) & (np.bitwise_count(bits >> np.uint64(32)) <= simhash.LEADING[order])
     want = np.arange(len(fps))
-    simhash._union(want, *np.nonzero(near))
+    union(want, *np.nonzero(near))
     assert (got == want).all()
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("local_edges", [0, 20, LOCAL_EDGES])
+def test_components_of_chains_stars_and_loops(spark, local_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (301, 300), (300, 301), (None, 1)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = components(spark.createDataFrame(edges, "a long, b long"), local_edges)
+    got = {r.node: r.root for r in found.collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 300: 300, 301: 300}
+
+
+@pytest.mark.parametrize("local_edges", [0, LOCAL_EDGES])
+def test_no_edges_give_no_components(spark, local_edges):
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), local_edges).count() == 0
