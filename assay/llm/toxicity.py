@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from assay.llm.simhash import shingle_hashes
 TRAIN_DOCS = 4_000
 #: Buckets that features are hashed into.
 BUCKETS = 1 << 20
+#: Blocks of 2^16 buckets.
+BLOCKS = -(-BUCKETS >> 16)
 #: Lengths of character n-grams, marks of the word's ends included.
 GRAMS = (4, 5, 6)
 FOLDS = 5
@@ -81,7 +84,7 @@ class Design:
     """A sparse matrix of zeros and ones: the distinct feature numbers of each row, row after row."""
 
     def __init__(self, features: np.ndarray, counts: np.ndarray, n_features: int):
-        self.features, self.counts, self.n_features = features.astype(np.int32), counts.astype(np.int64), n_features
+        self.features, self.counts, self.n_features = features.astype(np.int32, copy=False), counts.astype(np.int64), n_features
         ends = np.cumsum(self.counts)
         # rows are dealt into chunks, so that no temporary is as long as the matrix
         cuts = np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]) if len(ends) else 0, CHUNK))
@@ -109,10 +112,13 @@ class Design:
         """The chosen features, numbered anew in their order."""
         number = np.full(self.n_features, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        to = number[self.features]
-        own = to >= 0
-        row = np.repeat(np.arange(len(self.counts)), self.counts)[own]
-        return Design(to[own], np.bincount(row, minlength=len(self.counts)), len(chosen))
+        parts, counts = [np.empty(0, np.int32)], np.zeros(len(self.counts), np.int64)
+        for a, b, lo, hi in self.chunks:
+            to = number[self.features[lo:hi]]
+            own = to >= 0
+            parts.append(to[own])
+            counts[a:b] = np.bincount(np.repeat(np.arange(b - a), self.counts[a:b])[own], minlength=b - a)
+        return Design(np.concatenate(parts), counts, len(chosen))
 
 
 def fit_linear(
@@ -236,8 +242,18 @@ def _likeness(text: str) -> int:
     return least >> 1
 
 
+def _packed(found: np.ndarray) -> bytes:
+    """Bucket numbers in ascending order: how many each block has, then their places in it in two bytes each."""
+    return np.bincount(found >> 16, minlength=BLOCKS).astype("<u4").tobytes() + (found & 0xFFFF).astype("<u2").tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    sizes = np.frombuffer(data, "<u4", BLOCKS)
+    return np.repeat(np.arange(BLOCKS, dtype=np.int32) << 16, sizes) + np.frombuffer(data, "<u2", int(sizes.sum()), 4 * BLOCKS)
+
+
 def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str) -> pa.Table:
-    """``copy, buckets`` (32-bit numbers) and the categories of the documents fitted on."""
+    """``copy, buckets`` (``_packed``) and the categories of the documents fitted on."""
     marks = labels.select(id_col, *categories).dropna().groupBy(id_col).agg(*(F.max(c).cast("int").alias(c) for c in categories))
     n = marks.count()
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
@@ -266,7 +282,7 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: s
                 if len(met) > CACHE // 10:
                     met.clear()
                 copies.append(_likeness(text))
-                found.append(np.sort(np.fromiter(own, np.int32, len(own))).tobytes())
+                found.append(_packed(np.sort(np.fromiter(own, np.int32, len(own)))))
             yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(found, pa.binary()), *batch.columns[1:]], names=names)
 
     kinds = ", ".join(f"`{c}` int" for c in categories)
@@ -285,16 +301,34 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     table = _sample(docs, labels, categories, id_col, text_col)
     if not table.num_rows:
         return Chain({}, tuple(categories), tuple(np.array([0.0] * k + [-50.0]) for k in range(len(categories))), (0.0,) * len(categories))
-    found = [np.frombuffer(b, np.int32) for b in table.column("buckets").to_pylist()]
     y = np.column_stack([table.column(c).to_numpy() for c in categories]).astype(float)
     copy = table.column("copy").to_numpy()
-    # the same rows in the same order, however tasks dealt them
-    by = sorted(range(len(found)), key=lambda i: (copy[i], found[i].tobytes(), y[i].tolist()))
-    found, y, copy = [found[i] for i in by], y[by], copy[by]
-    counts = np.array([len(f) for f in found])
-    names, features = np.unique(np.concatenate(found), return_inverse=True)
+    x, names, by = _design(table.column("buckets"), copy, y)
+    del table
+    y, copy = y[by], copy[by]
     _, group, size = np.unique(copy, return_inverse=True, return_counts=True)
-    return fit_chain(Design(features, counts, len(names)), y, 1 / size[group], copy % FOLDS, names, categories)
+    return fit_chain(x, y, 1 / size[group], copy % FOLDS, names, categories)
+
+
+def _design(found: pa.ChunkedArray, copy: np.ndarray, y: np.ndarray) -> tuple[Design, np.ndarray, list[int]]:
+    """The matrix of packed rows, the bucket of each of its features, and the order its rows are in.
+
+    The order is the same however tasks dealt the rows. Rows are unpacked one by
+    one, so besides the packed rows only the matrix itself, four bytes an entry,
+    is in memory.
+    """
+    ties = groupby(np.argsort(copy, kind="stable").tolist(), key=lambda i: copy[i])
+    by = [i for _, tied in ties for i in sorted(tied, key=lambda i: (_unpacked(found[i].as_buffer()).tobytes(), y[i].tolist()))]
+    seen, counts = np.zeros(BUCKETS, bool), np.zeros(len(by), np.int64)
+    for k, i in enumerate(by):
+        own = _unpacked(found[i].as_buffer())
+        seen[own], counts[k] = True, len(own)
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    features, ends = np.empty(int(counts.sum()), np.int32), np.cumsum(counts)
+    for k, i in enumerate(by):
+        features[ends[k] - counts[k] : ends[k]] = number[_unpacked(found[i].as_buffer())]
+    names = np.flatnonzero(seen)
+    return Design(features, counts, len(names)), names, by
 
 
 # ---- scoring ------------------------------------------------------------------

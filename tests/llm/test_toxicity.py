@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assay.llm import queries, toxicity
@@ -52,6 +55,34 @@ def test_matrix_in_chunks(monkeypatch):
     assert np.allclose(own.only(np.array([1, 4])).times(w[[1, 4]]), x[:, [1, 4]] @ w[[1, 4]])
 
 
+def test_packed_buckets_come_back():
+    rng = np.random.default_rng(4)
+    top = toxicity.BUCKETS
+    for found in ([], [0], [top - 1], [0, 65535, 65536, top - 1], range(65536), np.unique(rng.integers(0, top, 5000))):
+        found = np.array(found, np.int32)
+        back = toxicity._unpacked(pa.py_buffer(toxicity._packed(found)))
+        assert back.dtype == np.int32 and np.array_equal(back, found)
+
+
+def test_the_fit_holds_little_besides_its_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghinorstu"), 8)) for _ in range(3000)]
+    texts = [(i, " ".join(rng.choice(words, 800))) for i in range(300)] + [(300, ""), (301, "one two"), (302, "one two")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 3 // 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    entries = sum(len({b for w in set(t.split()) for b in toxicity.buckets_of(w)}) for _, t in texts)
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 14)
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    tracemalloc.start()
+    try:
+        toxicity.fit_labelled(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print(f"{entries} entries, peak {peak / entries:.1f} bytes an entry")
+    assert entries > 2_000_000 and peak < 12 * entries
+
+
 def test_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1, 1), (None, 0, 0), (99, 1, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.classify(docs(ODD), labels).collect()
