@@ -16,7 +16,8 @@ the bytes it covers go. The steps:
    distribution over the byte before. Boundaries that appear in round h mark
    common prefixes of h - 1 bytes; suffixes alone in their interval drop out.
    After ``length`` rounds the intervals left are the repeated windows.
-4. The marked spans meet their documents again.
+4. The marked spans meet their documents again, in the same shuffle of the
+   texts that step 2 takes its fragments from.
 
 A minimizer met in very many documents is split by the whole window's hash.
 """
@@ -364,7 +365,12 @@ def _settled(places: DataFrame) -> DataFrame:
 
 
 def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_places: int = HOT_PLACES) -> DataFrame:
-    """``id, start, n``: runs of windows that start earlier elsewhere, from ``id, text`` with unique ids."""
+    """``id, start, n``: runs of windows that start earlier elsewhere, from ``id, text`` with unique ids.
+
+    Other columns of ``rows`` have no part in it, but are shuffled with the
+    texts: a caller that joins the result to these very rows by id then shares
+    that shuffle (Spark reuses an exchange of equal columns).
+    """
     hot = _hot_minimizers(rows, hot_places, length, gram)
     found = cut(_settled(_places(rows, hot, length, gram)))
     marked = found.where("n < 0").select("id", "start", (-F.col("n")).alias("n"))
@@ -373,7 +379,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_places:
     def take(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for doc, text, cuts in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            ids, texts, needs = (batch.column(c) for c in ("id", "text", "cuts"))
+            for doc, text, cuts in zip(ids.to_pylist(), texts_as_bytes(texts), needs.to_pylist(), strict=True):
                 for c in cuts:
                     for column, x in zip(out, (c["key"], doc, c["start"], c["n"], text[c["start"] : c["start"] + c["n"] + length - 1]), strict=True):
                         column.append(x)
@@ -398,7 +405,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_places:
         if held:
             yield done()
 
-    parts = rows.select("id", "text").join(needed, "id").mapInArrow(take, "key long, id long, start long, n long, part binary")
+    parts = rows.join(needed, "id").mapInArrow(take, "key long, id long, start long, n long, part binary")
     parts = parts.repartition("key").sortWithinPartitions("key")
     merged = parts.mapInArrow(merge, "id long, start long, n long")
     return marked.unionByName(merged)
@@ -433,12 +440,22 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _with_runs(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_places: int) -> tuple[DataFrame, bool]:
-    """The rows of ``_numbered`` with ``runs``, null without repeats, and whether ids are the given ones."""
+def _with_runs(
+    docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_places: int, columns: list[str]
+) -> tuple[DataFrame, bool]:
+    """``columns`` of ``_numbered`` with ``runs``, null without repeats, and whether ids are the given ones.
+
+    Given ids are without nulls; saying so here lets both joins of the texts
+    read one shuffle, as the one in ``repeats`` is inner and says so by itself.
+    The caller has to use all of ``columns``, or one of the two would be narrower.
+    """
     arrow_batches(docs.sparkSession)
     rows, given = _numbered(docs, id_col, text_col)
-    texts = rows.select("id", "text")
-    found = repeats(texts if given else texts.dropDuplicates(["id"]), length, gram, hot_places)
+    rows = rows.select(*columns)
+    if given:
+        rows = rows.where(F.col("id").isNotNull())
+    texts = rows if given else rows.select("id", "text").dropDuplicates(["id"])
+    found = repeats(texts, length, gram, hot_places)
     lists = found.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return rows.join(lists, "id", "left"), given
 
@@ -465,7 +482,8 @@ def remove_repeats(
     their texts' SHA-256, and of equal rows all but one count as later. Other
     columns are ignored.
     """
-    rows, given = _with_runs(docs.select(id_col, text_col), id_col, text_col, length, gram, hot_places)
+    columns = ["doc_id", "id", "text"]
+    rows, given = _with_runs(docs.select(id_col, text_col), id_col, text_col, length, gram, hot_places, columns)
     names = ["doc_id", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
@@ -477,7 +495,7 @@ def remove_repeats(
             made = [pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
-    done = rows.select("doc_id", "id", "text", "runs").mapInArrow(
+    done = rows.select(*columns, "runs").mapInArrow(
         run, "doc_id long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     if not given:
@@ -501,7 +519,8 @@ def deduplicate(
     The bytes that go are those of ``remove_repeats``, but for characters of
     which only a part would go; these stay whole. Null text becomes empty.
     """
-    rows, given = _with_runs(docs, id_col, text_col, length, gram, hot_places)
+    columns = ["doc_id", "id", "text", "row"]
+    rows, given = _with_runs(docs, id_col, text_col, length, gram, hot_places, columns)
     row = docs.drop(text_col).schema.simpleString()
 
     def run(batches):

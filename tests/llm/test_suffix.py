@@ -56,6 +56,30 @@ def test_odd_rows(docs):
     assert suffix.deduplicate(docs([])).collect() == []
 
 
+@pytest.mark.parametrize("operator", [suffix.remove_repeats, suffix.deduplicate])
+def test_texts_are_shuffled_once(spark, docs, tmp_path, operator):
+    random.seed(3)
+    base = "".join(random.choice("abcdefgh ") for _ in range(400))
+    pairs = [(i, base[i : i + 200] + str(i) + base[: 90 + i]) for i in range(30)]
+    docs(pairs).write.parquet(str(tmp_path / "documents"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = operator(spark.read.parquet(str(tmp_path / "documents")))
+        rows = got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = brute(pairs, 100)
+    if operator is suffix.remove_repeats:
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
+    else:
+        kept = sorted((str(r.doc_id), hashlib.sha256(r.text.encode()).hexdigest()) for r in rows)
+        assert kept == sorted((w[0], w[4]) for w in want)
+    # both joins of the texts, the one before the merge and the last one, read one exchange
+    assert plan.count("FileScan parquet") == 1
+    assert sum("ReusedExchange" in line and "text#" in line for line in plan.splitlines()) == 1
+
+
 def test_texts_keep_whole_characters(docs):
     text = "é" * 100
     got = {r.doc_id: r.text for r in suffix.deduplicate(docs([(1, text), (2, text + "y"), (3, "ab" + text)])).collect()}
